@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import leakage
+from graphloom.llm import leakage, structure
 from graphloom.plans.runtime import read_table
 
 
@@ -16,5 +16,13 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leak_report(p6_found(spark, folder), read_table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items)}
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.text_statistics(read_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_statistics(spark, folder).where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
