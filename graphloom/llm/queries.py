@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import leakage, structure
-from graphloom.plans.runtime import read_table
+from graphloom.llm import leakage, mixture, structure
+from graphloom.plans.runtime import cut, read_table
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +16,20 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leak_report(p6_found(spark, folder), read_table(spark, folder, "eval_items"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    counted = cut(mixture.count_tokens(read_table(spark, folder, "documents")))
+    shares = cut(mixture.plan_shares(counted, read_table(spark, folder, "mix_targets")))
+    return mixture.use_counts(counted, shares), shares
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.reached_shares(*_mixture(spark, folder))
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return structure.text_statistics(read_table(spark, folder, "documents"))
 
@@ -24,5 +38,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_statistics(spark, folder).where("form <> 'prose'").select("doc_id", "form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_uses, p7_shares, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
