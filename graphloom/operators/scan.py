@@ -112,3 +112,118 @@ def previous_in_group(df: DataFrame, group: str, order: list[str], carry: str, a
             yield out
 
     return prefix_scan(ordered, last, lambda state, summary: summary, lag, schema)
+
+
+def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | None = None, lead: dict[str, str] | None = None, carry: dict[str, str] | None = None) -> DataFrame:
+    """df with columns that depend on the rows before and after in a group, without a window per
+    group: one group may hold any share of the rows.
+
+    number: name of a 0-based count of the earlier rows of the group. lead: {bigint column: name}
+    of its value in the next row of the group. carry: {bigint column: name} of its last value that
+    is not NULL in the earlier rows of the group. Values are NULL where there is no such row. Rows
+    with a NULL group form one group. Ties in `order` are numbered in an arbitrary order.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    lead, carry = lead or {}, carry or {}
+    added = ([number] if number else []) + [*lead.values(), *carry.values()]
+    columns = df.columns
+    ordered = range_sort(df, [group, *order])
+    light = ordered.select(group, *dict.fromkeys([*lead, *carry]), SCAN_PARTITION)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` bigint" for name in added])
+
+    def values(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return np.array(batch.column(name).to_pylist(), dtype=object)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = head = head_lead = tail = None
+        count, single, last = 0, True, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = values(batch, group)
+            if part is None:
+                part, head = batch.column(SCAN_PARTITION)[0].as_py(), groups[0]
+                head_lead = {c: batch.column(c)[0].as_py() for c in lead}
+                tail = groups[0]
+            change = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            first_new = groups[0] != tail
+            at = int(change[-1]) if len(change) else 0
+            if first_new or len(change):
+                count, single, last = 0, False, {}
+            tail = groups[-1]
+            count += len(groups) - at
+            for c in carry:
+                kept = [v for v in values(batch, c)[at:] if v is not None]
+                if kept:
+                    last[c] = kept[-1]
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "info": pa.array([pickle.dumps((head, head_lead, tail, count, single, last))], pa.binary())})
+
+    found = sorted(light.mapInArrow(edges, "part int, info binary").collect(), key=lambda r: r["part"])  # one row per partition
+    before, after = {}, {}
+    state: tuple = (object(), 0, {})
+    for row in found:
+        head, _, tail, count, single, last = pickle.loads(row["info"])
+        before[row["part"]] = state
+        if single and head == state[0]:
+            state = (tail, state[1] + count, {**state[2], **last})
+        else:
+            state = (tail, count, last)
+    for row, following in zip(found, found[1:]):
+        after[row["part"]] = pickle.loads(following["info"])[:2]
+    ends = {k: (None if type(v[0]) is object else v[0], type(v[0]) is object, v[1], v[2]) for k, v in before.items()}
+
+    def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = count = carried = part = held = None
+        fresh = True
+
+        def finish(held: tuple, head: object, head_lead: dict, there: bool) -> pa.RecordBatch:
+            batch, groups, extra = held
+            arrays = [batch.column(c) for c in columns]
+            if number:
+                arrays.append(pa.array(extra["n"], pa.int64()))
+            for c in lead:
+                own = values(batch, c)
+                moved = np.full(len(own), None, dtype=object)
+                same = groups[1:] == groups[:-1]
+                moved[:-1][same] = own[1:][same]
+                if there and groups[-1] == head:
+                    moved[-1] = head_lead[c]
+                arrays.append(pa.array(moved.tolist(), pa.int64()))
+            arrays += [pa.array(extra[c].tolist(), pa.int64()) for c in carry]
+            return pa.RecordBatch.from_arrays(arrays, names=[*columns, *added])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = values(batch, group)
+            if part is None:
+                part = batch.column(SCAN_PARTITION)[0].as_py()
+                tail, fresh, count, carried = ends[part]
+                carried = dict(carried)
+            if held is not None:
+                yield finish(held, groups[0], {c: batch.column(c)[0].as_py() for c in lead}, True)
+            new = np.ones(len(groups), dtype=bool)
+            new[1:] = groups[1:] != groups[:-1]
+            new[0] = fresh or groups[0] != tail
+            index = np.arange(len(groups))
+            starts = np.maximum.accumulate(np.where(new, index, -1))
+            extra = {"n": np.where(starts >= 0, index - starts, index + (count or 0))}
+            for c in carry:
+                out, last = [], carried.get(c)
+                for value, is_new in zip(values(batch, c), new):
+                    last = None if is_new else last
+                    out.append(last)
+                    last = value if value is not None else last
+                extra[c] = np.array([*out, None], dtype=object)[:-1]
+                carried[c] = last
+            tail, fresh, count = groups[-1], False, int(extra["n"][-1]) + 1
+            held = (batch, groups, extra)
+        if held is not None:
+            there = part in after
+            head, head_lead = after.get(part, (None, {}))
+            yield finish(held, head, head_lead, there)
+
+    return ordered.mapInArrow(annotate, schema)

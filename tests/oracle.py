@@ -23,7 +23,7 @@ def _text(value: object) -> str:
         return "[" + ",".join(_text(v) for v in value) + "]"
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "~"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
+    if isinstance(value, bool) or type(value).__name__.startswith("bool"):
         return str(bool(value))
     try:
         return f"{float(value):.9g}" if not isinstance(value, str) else value
