@@ -89,6 +89,7 @@ def conceptual_model(config: MappingConfig, schema: Schema, *, source_kind: str
             }
         )
     named = {m.source_table: entity_name(m.target_collection) for m in config.collections.values()}
+    joins = {m.source_table for m in config.collections.values() if m.is_join_table}
     relationships = [
         {
             "name": property_name(x.edge_collection),
@@ -97,7 +98,15 @@ def conceptual_model(config: MappingConfig, schema: Schema, *, source_kind: str
             "physical": {"style": "DEDICATED_COLLECTION", "collection": x.edge_collection, "joinKeys": {"from": x.from_fields, "to": x.to_fields}},
         }
         for x in config.edges
+        if x.from_collection not in joins
     ]
+    for m in config.collections.values():
+        table = schema.tables.get(m.source_table)
+        if m.is_join_table and table is not None and len(table.foreign_keys) == 2:
+            a, b = sorted(table.foreign_keys, key=lambda fk: (fk.foreign_table, fk.columns))
+            physical_join = {"style": "DEDICATED_COLLECTION", "collection": m.target_collection, "joinKeys": {"from": a.columns, "to": b.columns}}
+            ends = [named.get(fk.foreign_table, entity_name(fk.foreign_table)) for fk in (a, b)]
+            relationships.append({"name": property_name(m.target_collection), "from": ends[0], "to": ends[1], "physical": physical_join})
     provenance = {"source": {"kind": source_kind, "ref": source_ref or config.source_schema}, "labelPolicy": label_policy, "labelCollisions": collisions}
     if generated_at:
         provenance["generatedAt"] = generated_at

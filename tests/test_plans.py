@@ -264,7 +264,8 @@ def test_mosaic_gate_and_artifacts():
 def test_exports():
     schema, config = shop(), mapping.auto_map(shop())
     document = export.conceptual_model(config, schema)
-    assert export.check_model(document) == ["relationship itemsToOrders: no entity Item", "relationship itemsToProducts: no entity Item"]
+    assert export.check_model(document) == []
+    assert {"name": "items", "from": "Order", "to": "Product"} in document["conceptual"]["relationships"]
     names = {e["name"]: [p["name"] for p in e["properties"]] for e in document["conceptual"]["entities"]}
     assert names["User"] == ["userId", "name", "email"] and set(names) == {"User", "Order", "Product"}
     roles = export.conceptual_model(config, schema, label_policy="roles")
