@@ -55,6 +55,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for costly work row by row.
+
+    Only an input that is too small to fill the cores is shuffled; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes that may be broadcast: the session's own threshold, 0 when broadcasts are off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
