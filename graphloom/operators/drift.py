@@ -133,9 +133,10 @@ def field_changes(files: DataFrame) -> DataFrame:
 
     Kinds: added, removed, renamed (equal values, unique among the vanished and new fields of the
     step), retyped. Values are compared as canonical JSON (keys sorted). NULL origins form one
-    series. Repeated rows of one file_id are one file. A table that appears or disappears as a
+    series. Repeated rows of one file_id are one file, rows without one none. A table that appears or disappears as a
     whole is no change; an empty input gives an empty result.
     """
+    files = files.where("file_id is not null")
     keys = files.select("file_id", "origin", "captured_at").dropDuplicates(["file_id"])
     steps = previous_in_group(keys, "origin", ["captured_at", "file_id"], "file_id", "prev_id").where("prev_id is not null").select("file_id", "prev_id")
     tables = explode_fields(files.dropDuplicates(["file_id"])).where("fields is not null").select("file_id", "table_name", "fields")

@@ -77,7 +77,7 @@ def unresolved(
 ) -> DataFrame:
     """(column_name, row_id, ref, kind, first_seen) for each id of `rows` and reference column that does not resolve.
 
-    `references` maps a column of `rows` to (target rows with `loaded_at`, their key column,
+    `references` maps an integer column of `rows` to (target rows with `loaded_at`, their key column,
     deletions with `row_id` and `deleted_at`). An id with several rows counts once, with the
     earliest `seen`. NULL references refer to nothing; NULL ids form one id. Repeated rows change
     nothing; empty tables give an empty result, or all references missing.

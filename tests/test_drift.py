@@ -44,7 +44,7 @@ def test_element_types_and_table_changes(spark):
 
 def test_odd_bodies_and_repeats(spark):
     a = {"u": {"k": 1}, "odd": 5}
-    rows = [(1, "o", "2024-01-01", a), (2, "o", "2024-01-02", "{"), (3, "o", "2024-01-03", None), (4, "o", "2024-01-04", a), (4, "o", "2024-01-04", a), (5, "o", None, a)]
+    rows = [(1, "o", "2024-01-01", a), (2, "o", "2024-01-02", "{"), (3, "o", "2024-01-03", None), (4, "o", "2024-01-04", a), (4, "o", "2024-01-04", a), (5, "o", None, a), (None, "o", "2024-01-05", {"u": {"k": "x"}})]
     assert changes(spark, rows) == []
     assert changes(spark, [(1, "o", "2024-01-01", a)]) == []
     assert field_changes(files(spark, rows).limit(0)).count() == 0

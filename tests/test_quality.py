@@ -60,6 +60,16 @@ def test_folder_of_files_and_empty(spark, tmp_path):
     assert quality.load_findings(quality.value_counts(spark, empty, "city")).count() == 0
 
 
+def test_rows_of_no_load(spark, tmp_path):
+    table = pa.table({"feed": pa.array([1] * 40 + [None] * 40, pa.int64()), "load_no": pa.array([1] * 20 + [None] * 20 + [1] * 40, pa.int32()), "city": ["x", None] * 40, "value": ["clash"] * 80})
+    pq.write_table(table, tmp_path / "t.parquet")
+    counts = quality.value_counts(spark, str(tmp_path / "t.parquet"), "city")
+    assert sorted((str(r.feed), str(r.load_no), str(r.value), r.n) for r in counts.collect()) == [
+        ("1", "1", "None", 10), ("1", "1", "x", 10), ("1", "None", "None", 10), ("1", "None", "x", 10), ("None", "1", "None", 20), ("None", "1", "x", 20),
+    ]
+    assert quality.load_findings(counts).count() == 0
+
+
 def test_one_value_chunks_are_counted_from_the_footer(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "t.parquet", {(1, 1): ["Alba"] * 50, (1, 2): [None] * 50}, row_group_size=50)
     rows = {(r.feed, r.load_no, r.value, r.n) for r in quality.value_counts(spark, path, "city").collect()}
