@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.runtime import cut
+from graphloom.plans.runtime import cut, spread
 
 #: Where the public tokenizer's vocabulary file lies; a parameter of count_tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,7 +44,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             tokens = [0 if text is None else len(encoding.encode_ordinary(text)) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": tokens})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id bigint, source string, tokens bigint")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(count, "doc_id bigint, source string, tokens bigint")
 
 
 def flight(weights: list[float], chances: list[float], pick: random.Random) -> list[float]:
