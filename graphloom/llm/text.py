@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|\[/?[A-Za-z]{1,12}(?:=[^\[\]\s]{0,100})?\]")
+_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,31});")
 _UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
 _BYTE = re.compile(r"(?:\\x[0-9a-fA-F]{2})+")
@@ -79,7 +80,7 @@ def words(text: str | None, vocabulary: frozenset[str] | set[str] = frozenset())
     if not text:
         return []
     out: list[str] = []
-    for line in fold(TAG.sub(" ", unescape(text))).split("\n"):
+    for line in fold(TAG.sub(" ", _LINK.sub(r" \1 ", unescape(text)))).split("\n"):
         tokens = [t for t in map(_letters, line.split()) if t]
         if tokens and out and vocabulary and joins(out[-1], tokens[0], vocabulary):
             tokens[0] = out.pop() + tokens[0]
