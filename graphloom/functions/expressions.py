@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import WHITE_SPACE, strip
@@ -409,6 +409,22 @@ def parse(text: str) -> Expression:
     return Expression(text, tree, tuple(names))
 
 
+def preview(spark: SparkSession, text: str, row: dict[str, object]) -> dict[str, object]:
+    """{references, result} of an expression over one row of plain values, or {references, error}."""
+    try:
+        expression = parse(text)
+    except ExpressionError as error:
+        return {"references": bind_names(text), "error": str(error)}
+    kinds = {bool: ("boolean", "boolean"), int: ("bigint", "integer"), float: ("double", "float"), str: ("string", "string"), list: ("array<string>", "array")}
+    given = {n: kinds.get(type(row.get(n)), ("string", "null")) for n in expression.references}
+    frame = spark.range(1).select(F.lit(1).alias("__one"), *[F.lit(row.get(n)).cast(kind).alias(n) for n, (kind, _) in given.items()])
+    try:
+        value = expression.column({n: Typed(F.col(f"`{n}`"), logical) for n, (_, logical) in given.items()})
+    except ExpressionError as error:
+        return {"references": list(expression.references), "error": str(error)}
+    return {"references": list(expression.references), "result": frame.select(value.col).first()[0]}
+
+
 _BIND = re.compile(r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|@([A-Za-z_]\w*)""", re.S)
 
 

@@ -92,9 +92,9 @@ def delimiter_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 def key_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name): columns that are unique and have no NULL; of an empty table, all of them."""
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    found = names.join(distinct_ratios(df, columns), "column_name", "left").join(F.broadcast(total))  # one row
-    return found.where("total = 0 or (filled = total and distinct_values = total)").select("column_name")
+    total = df.count()
+    found = names.join(distinct_ratios(df, columns), "column_name", "left").where(F.lit(total == 0) | ((F.col("filled") == total) & (F.col("distinct_values") == total)))
+    return found.select("column_name")
 
 
 def sample_values(df: DataFrame, column: str, n: int = 100) -> DataFrame:

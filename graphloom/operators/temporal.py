@@ -107,11 +107,12 @@ def snapshots_at(versions: DataFrame, moments: DataFrame, t: str = "t", width: i
     """Versions alive at each of many moments, as a bucketed interval join: versions and moments
     meet by bucket of `width` microseconds. A version enters the buckets that it shares with the
     first and last moment; the moments are a bounded question set."""
-    ends = moments.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    # One row of bounds.
-    spans = versions.join(F.broadcast(ends)).where("created <= hi and expired > lo")
-    first, last = F.floor(F.greatest("created", "lo") / width), F.floor(F.least(F.col("expired") - 1, F.col("hi")) / width)
-    keyed = spans.withColumn("__b", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))).drop("lo", "hi")
+    lo, hi = moments.agg(F.min(t), F.max(t)).first()
+    if lo is None:
+        return versions.limit(0).withColumn(t, F.lit(None).cast("bigint"))
+    spans = versions.where((F.col("created") <= hi) & (F.col("expired") > lo))
+    first, last = F.floor(F.greatest("created", F.lit(lo)) / width), F.floor(F.least(F.col("expired") - 1, F.lit(hi)) / width)
+    keyed = spans.withColumn("__b", F.explode(F.sequence(first, last)))
     asked = moments.select(t).distinct().withColumn("__b", F.floor(F.col(t) / width))
     return keyed.join(asked, "__b").where((F.col("created") <= F.col(t)) & (F.col("expired") > F.col(t))).drop("__b")
 

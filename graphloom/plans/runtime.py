@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings that the results depend on (text of timestamps) or that every plan wants.
 SESSION_CONF = {
@@ -63,22 +62,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes that may be broadcast: the session's own threshold, 0 when broadcasts are off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = text.rstrip("bkmg")
-    value = int(digits) * units.get(text[len(digits) : len(digits) + 1], 1)
-    return max(0, value)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay under the limit; else as it is, so that
-    the join shuffles and adaptive execution splits hot keys."""
-    limit = broadcast_limit(df.sparkSession) if limit is None else limit
-    return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table of a scale folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

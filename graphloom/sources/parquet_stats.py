@@ -20,8 +20,10 @@ def open_file(path: str) -> BinaryIO:
     """A seekable file by path or URI, local or of any file system that Arrow knows."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri("file://" + path[5:].lstrip("/").join(("/", "")) if path.startswith("file:") else path)
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        system, inner = fs.FileSystem.from_uri(path)
         return system.open_input_file(inner)
     return pa.OSFile(path)
 

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.expressions import ExpressionError, Typed, bind_names, parse, rewrite_binds
+from graphloom.functions.expressions import ExpressionError, Typed, bind_names, parse, preview, rewrite_binds
 
 
 def num(v):
@@ -126,3 +126,9 @@ def test_binds():
     assert bind_names(source) == ["a", "c"]
     assert parse("@x + @y + @x").references == ("x", "y")
     assert rewrite_binds(source) == "row.`a` + \"@b\" + row.`c` + '@d' + row.`a`"
+
+
+def test_preview(spark):
+    assert preview(spark, "@a + @b", {"a": 1, "b": "x"}) == {"references": ["a", "b"], "result": "1x"}
+    assert preview(spark, "@a ?? LENGTH(@l)", {"a": None, "l": ["x", "y"]})["result"] == 2
+    assert "error" in preview(spark, "@a +", {"a": 1})
