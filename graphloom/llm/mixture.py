@@ -132,12 +132,10 @@ def plan_shares(counted: DataFrame, targets: DataFrame, total_tokens: int | None
     both = goal.join(sizes, "source", "left").fillna(0, ["documents", "source_tokens"])
     if total_tokens is None:
         fill = F.when((F.col("source_tokens") > 0) & (F.col("weight") > 0) & (F.col("max_repeats") > 0), F.col("source_tokens") * F.col("max_repeats") / F.col("weight"))
-        total = both.agg(F.floor(F.min(fill)).alias("total"))
-    else:
-        total = both.sparkSession.range(1).select(F.lit(total_tokens).cast("bigint").alias("total"))
-    wanted = F.col("weight") * F.coalesce("total", F.lit(0))
+        total_tokens = both.agg(F.floor(F.min(fill)).alias("total")).first()["total"] or 0
+    wanted = F.col("weight") * total_tokens
     rate = F.when(F.col("source_tokens") > 0, F.least(wanted / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return both.join(F.broadcast(total)).withColumn("wanted", wanted).withColumn("rate", rate).drop("total")  # one row
+    return both.withColumn("wanted", wanted).withColumn("rate", rate)
 
 
 def use_counts(counted: DataFrame, shares: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -182,9 +180,9 @@ def reached_shares(uses: DataFrame, shares: DataFrame) -> DataFrame:
     largest_use, share, shortfall) per target source: share of all tokens used, and the part of
     weight that is not reached, by the planned total."""
     used = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("largest_use"))
-    total = uses.agg(F.sum(F.col("tokens") * F.col("uses")).alias("all_tokens"))
-    both = shares.join(used, "source", "left").fillna(0, ["used_tokens", "largest_use"]).join(F.broadcast(total))  # one row
-    share = F.coalesce(F.col("used_tokens") / F.nullif(F.col("all_tokens"), F.lit(0)), F.lit(0.0))
+    total = uses.agg(F.sum(F.col("tokens") * F.col("uses")).alias("total")).first()["total"]
+    both = shares.join(used, "source", "left").fillna(0, ["used_tokens", "largest_use"])
+    share = F.col("used_tokens") / total if total else F.lit(0.0)
     missing = F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.col("used_tokens") / F.nullif(F.col("wanted"), F.lit(0.0)), F.lit(0.0))) * F.col("weight")
     return both.select(
         "source", "weight", "max_repeats", "documents", "source_tokens", F.round("wanted").cast("bigint").alias("wanted_tokens"), "used_tokens", "largest_use", share.alias("share"), missing.alias("shortfall")
