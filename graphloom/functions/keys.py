@@ -43,8 +43,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+#: Types whose text holds only characters that a key may hold.
+PLAIN_TYPES = (T.IntegralType, T.BooleanType, T.DateType)
+
+
 def key_part(col: Column, kind: T.DataType, trim: bool = False) -> Column:
+    """The escaped text of a value; escaping is left out where the type makes it needless."""
     text = as_text(col, kind)
+    if isinstance(kind, PLAIN_TYPES):
+        return text
     return escape(strip(text) if trim else text)
 
 

@@ -43,3 +43,10 @@ def test_timestamps_have_six_digits_or_none(spark):
 def test_trim_takes_all_white_space(spark):
     df = spark.createDataFrame([("\t x\n\xa0",)], "t string")
     assert df.select(keys.strip(df.t)).first()[0] == "x"
+
+
+def test_plain_types_need_no_escape(spark):
+    df = spark.createDataFrame([(-5, True, datetime.date(2024, 1, 2))], "i bigint, b boolean, d date")
+    for f in df.schema.fields:
+        plain_part, escaped = df.select(keys.key_part(df[f.name], f.dataType), keys.escape(keys.as_text(df[f.name], f.dataType))).first()
+        assert plain_part == escaped
