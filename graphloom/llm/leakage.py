@@ -66,20 +66,24 @@ def places_of(passage: list[str]) -> dict[str, list[int]]:
 
 def may_hold(there: set[str], passage: list[str]) -> bool:
     """Whether the words of a document could hold a case, whatever their order: EXACT_WORDS in a
-    row of the passage that it has, or STRETCH_WORDS of which at most one in EDIT_RATE, and one
-    more for the cut of longer stretches, is missing."""
-    most = STRETCH_WORDS // EDIT_RATE + 1
-    run, lacks = 0, []
-    for i, word in enumerate(passage):
+    row of the passage that it has, or a stretch of STRETCH_WORDS or more, of any length, of which
+    at most one in EDIT_RATE is missing. A missing word is an edit, so no case is refused."""
+    run = score = 0  # score: EDIT_RATE times the missing words so far, less all words so far
+    scores, most = [0], 0
+    for end, word in enumerate(passage, 1):
         if word in there:
             run += 1
+            score -= 1
         else:
             run = 0
-            lacks.append(i)
+            score += EDIT_RATE - 1
+        scores.append(score)
         if run >= EXACT_WORDS:
             return True
-        if i >= STRETCH_WORDS - 1 and (len(lacks) <= most or lacks[-most - 1] <= i - STRETCH_WORDS):
-            return True
+        if end >= STRETCH_WORDS:
+            most = max(most, scores[end - STRETCH_WORDS])
+            if score <= most:
+                return True
     return False
 
 

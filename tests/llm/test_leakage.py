@@ -146,3 +146,27 @@ def test_words():
     assert words("whis\ntle tree", {"whistle"}) == ["whistle", "tree"] and words("in\nto", {"in", "to", "into"}) == ["in", "to"]
     assert unescape("caf\\u00e9 caf%C3%A9 caf=C3=A9 cafÃ© &eacute; 100% &amp;amp;") == "café café café café é 100% &"
     assert fold("Straße ﬁn Ａ１") == "strasse fin a1"
+
+
+def test_edits_in_the_middle_of_longer_stretches(spark, material):
+    _, _, prose = material
+    pick = random.Random(8)
+    items = {n: passage(pick, n) for n in (40, 44, 48, 56)}
+    cut = lambda n, at: " ".join("zzz" if i in at else w for i, w in enumerate(items[n].split()))
+    docs = [prose[0] + " " + cut(40, {10, 15, 20, 25, 29}) + " " + prose[1]]
+    for n in items:
+        for _ in range(8):
+            docs.append(prose[2] + " " + cut(n, set(pick.sample(range(6, n - 6), n // 8))) + " " + prose[3])
+    want = {(i, e) for i, d in enumerate(docs) for e, p in items.items() if brute(d, p)}
+    assert (0, 40) in want and len(want) == len(docs)
+    assert run(spark, list(enumerate(docs)), items.items()) == want
+
+
+def test_prefilter_against_all_stretches():
+    pick = random.Random(9)
+    for _ in range(3000):
+        n = pick.randrange(14, 70)
+        lacks = [pick.random() < pick.choice((0.05, 0.13, 0.2)) for _ in range(n)]
+        long = any(not any(lacks[i : i + 16]) for i in range(n - 15))
+        want = long or any(sum(lacks[i:j]) * 8 <= j - i for i in range(n) for j in range(i + 30, n + 1))
+        assert leakage.may_hold({str(i) for i, gone in enumerate(lacks) if not gone}, [str(i) for i in range(n)]) == want
