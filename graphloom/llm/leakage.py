@@ -101,7 +101,9 @@ def matching_runs(document: list[str], passage: list[str], places: dict[str, lis
 
 def holds(document: list[str], passage: list[str], places: dict[str, list[int]] | None = None) -> bool:
     """Whether a document holds EXACT_WORDS words in a row of the passage, or a stretch of it of
-    STRETCH_WORDS or more in which at most one in EDIT_RATE is replaced, added or dropped."""
+    STRETCH_WORDS or more in which at most one in EDIT_RATE is replaced, added or dropped. The
+    first and last words of a stretch may be edits too: a shorter chain of runs is filled up to
+    STRETCH_WORDS with words of the passage beside it, each an edit."""
     runs = matching_runs(document, passage, places)
     if any(n >= EXACT_WORDS for _, _, n in runs):
         return True
@@ -123,8 +125,9 @@ def holds(document: list[str], passage: list[str], places: dict[str, list[int]]
                     if cost <= reach and cost < edits.get(b, reach + 1):
                         edits[b] = cost
                 if b in edits:
-                    length = start_p + n - band[first][0]
-                    if length >= STRETCH_WORDS and edits[b] * EDIT_RATE <= length:
+                    span = start_p + n - band[first][0]
+                    length = max(span, STRETCH_WORDS)
+                    if length <= len(passage) and (edits[b] + length - span) * EDIT_RATE <= length:
                         return True
     return False
 

@@ -170,3 +170,51 @@ def test_prefilter_against_all_stretches():
         long = any(not any(lacks[i : i + 16]) for i in range(n - 15))
         want = long or any(sum(lacks[i:j]) * 8 <= j - i for i in range(n) for j in range(i + 30, n + 1))
         assert leakage.may_hold({str(i) for i, gone in enumerate(lacks) if not gone}, [str(i) for i in range(n)]) == want
+
+
+def brute_any_ends(document, wanted):
+    """brute() without its demand that the first and last word of a stretch be intact."""
+    d, p = words(document), words(wanted)
+    if brute(document, wanted):
+        return True
+    for i in range(len(p) - 29):
+        row = [0] * (len(d) + 1)
+        for n, w in enumerate(p[i:], 1):
+            new = [n] + [0] * len(d)
+            for j, x in enumerate(d, 1):
+                new[j] = min(row[j - 1] + (w != x), row[j] + 1, new[j - 1] + 1)
+            row = new
+            if n >= 30 and min(row) * 8 <= n:
+                return True
+    return False
+
+
+def test_edits_at_the_ends_of_a_stretch(spark, material):
+    _, items, prose = material
+    pick = random.Random(10)
+    part = items[4].split()[12:42]
+    cut = lambda at, kind: " ".join(x for i, w in enumerate(part) for x in ({"replace": ["zzz"], "drop": [], "add": [w, "zzz"]}[kind] if i in at else [w]))
+    docs = [prose[0] + " " + cut(at, "replace") + " " + prose[1] for at in ({0, 10, 20}, {9, 19, 29}, {0, 14, 29}, {0, 10, 20, 29})]
+    docs += [prose[2] + " " + cut(set(pick.sample(range(30), n)), kind) + " " + prose[3] for n in (3, 4) for kind in ("replace", "drop", "add") for _ in range(8)]
+    docs += [cut({0, 10, 20}, "replace"), " ".join(items[4].split()[:14] + ["zzz"] + items[4].split()[15:29])]
+    want = {(i, e) for i, d in enumerate(docs) for e, p in items.items() if brute_any_ends(d, p)}
+    assert {(0, 4), (1, 4), (2, 4)} <= want and (3, 4) not in want
+    assert run(spark, list(enumerate(docs)), items.items()) == want
+
+
+def test_verification_against_brute_force():
+    pick = random.Random(11)
+    for _ in range(400):
+        whole = [pick.choice("abcdefghijklmnopqrstuvwxyz") + str(pick.randrange(9)) for _ in range(pick.choice((30, 34, 50)))]
+        start, n = pick.randrange(0, 12), pick.choice((26, 27, 28, 29, 30, 32, 40))
+        text = " ".join(whole[start : start + n])
+        for _ in range(pick.randrange(2, 6)):
+            part = text.split()
+            at = pick.randrange(len(part))
+            part[at : at + pick.randrange(2)] = ["zz"] * pick.randrange(2)
+            text = " ".join(part)
+        document, wanted = "zz zz " + text + " zz zz", " ".join(whole)
+        want = brute_any_ends(document, wanted)
+        d, p = words(document), words(wanted)
+        assert leakage.holds(d, p) == want, (document, wanted)
+        assert leakage.may_hold(set(d), p) or not want
