@@ -1,13 +1,15 @@
 """Keyed merges: bulk loads by on_duplicate, and change batches under a conflict policy.
 
-A change has `_key`, `op` (INSERT, REPLACE, DELETE), `seq` (bigint, the order of the log) and the
-document's columns. A target keeps, besides its documents, `_seq` (the last sequence applied to
+A change has `_key`, `op` (INSERT, REPLACE, DELETE), `seq` (bigint or PLACED_SEQ, the order of the
+log) and the document's columns. A target keeps, besides its documents, `_seq` (the last sequence applied to
 the key) and `_deleted` (a tombstone), so that late or repeated changes cannot undo newer ones and
 any split of a log into batches gives the same target.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from graphloom.operators.scan import annotate_groups
 
 META = ("_key", "_seq", "_deleted")
 POLICIES = ("source_wins", "last_write_wins", "log_and_skip", "fail")
+#: A sequence with a place behind the point, and the step from place to place. Any int fits.
+PLACED_SEQ, PLACE_UNIT = "decimal(38,10)", Decimal("0.0000000001")
 ON_DUPLICATE = ("error", "update", "replace", "ignore")
 
 

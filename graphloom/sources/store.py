@@ -66,7 +66,13 @@ class GraphStore:
     def state(self, collection: str, only: list[int] | None = None) -> DataFrame | None:
         """The rows of a collection with sequences and tombstones; of the given buckets only."""
         parts = [p for b, p in self.manifest(collection)["buckets"].items() if only is None or int(b) in only]
-        return self.spark.read.option("mergeSchema", "true").parquet(*sorted(parts)) if parts else None
+        if not parts:
+            return None
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*sorted(parts))
+        if "_seq_place" not in rows.columns:
+            return rows
+        place = F.coalesce("_seq_place", F.lit(0)).cast("decimal(10,0)") * F.lit(merge.PLACE_UNIT)
+        return rows.withColumn("_seq", (F.col("_seq").cast("decimal(20,0)") + place).cast(merge.PLACED_SEQ)).drop("_seq_place")
 
     def documents(self, collection: str) -> DataFrame | None:
         state = self.state(collection)
@@ -94,6 +100,9 @@ class GraphStore:
         manifest = self.manifest(collection)
         version = manifest["version"] + 1
         folder = f"{self.path}/{collection}/v{version}-{uuid.uuid4().hex[:8]}"
+        if dict(rows.dtypes)["_seq"] != "bigint":  # files keep whole sequence and place apart, so that buckets of both kinds are read together
+            place = (F.col("_seq") % 1) * F.lit(int(1 / merge.PLACE_UNIT))
+            rows = rows.withColumn("_seq_place", place.cast("bigint")).withColumn("_seq", F.floor("_seq").cast("bigint"))
         rows.withColumn("_bucket", self._bucket()).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(folder)
         fs, p = self._fs(folder)
         written = {s.getPath().getName().split("=")[1]: s.getPath().toString() for s in fs.listStatus(p) if "=" in s.getPath().getName()}

@@ -20,10 +20,14 @@ OPS = {"INSERT": "INSERT", "UPDATE": "REPLACE", "DELETE": "DELETE"}
 
 
 def sequenced(events: DataFrame) -> DataFrame:
-    """events with `seq`: the numeric log position, and the place in its transaction as lower
-    digits, where there is one. Never the order of arrival."""
-    place = F.col("ordinal") if "ordinal" in events.columns else F.lit(0)
-    return events.withColumn("seq", lsn_number(F.col("lsn")) * 1024 + F.least(place, F.lit(1023)))
+    """events with `seq`: 1024 times the numeric log position; where events have a place in their
+    transaction, a decimal whose digits after the point are that place, so that no number of
+    changes in a transaction is too large. Never the order of arrival."""
+    at = lsn_number(F.col("lsn"))
+    if "ordinal" not in events.columns:
+        return events.withColumn("seq", at * 1024)
+    place = F.coalesce("ordinal", F.lit(0)).cast("decimal(10,0)") * F.lit(merge.PLACE_UNIT)
+    return events.withColumn("seq", (at.cast("decimal(19,0)") * 1024 + place).cast(merge.PLACED_SEQ))
 
 
 def _rows(events: DataFrame, table: model.Table, side: str) -> DataFrame:

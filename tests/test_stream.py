@@ -86,3 +86,47 @@ def test_store_replace_rename_drop_and_graph(spark, tmp_path):
     assert store.graph("g")["edge_definitions"][0]["edge_collection"] == "orders_to_users" and store.graph("h") is None
     store.drop("b")
     assert store.documents("b") is None
+
+
+def wal(kind, table, row, old=None):
+    entry = {"kind": kind, "schema": "public", "table": table}
+    if row:
+        entry |= {"columnnames": list(row), "columnvalues": list(row.values())}
+    return entry | ({"oldkeys": {"keynames": list(old), "keyvalues": list(old.values())}} if old else {})
+
+
+def large_transaction(lsn):
+    changes = [wal("insert", "users", {"id": 1000 + i, "name": "x"}) for i in range(1100)]
+    changes += [wal("insert", "users", {"id": 1, "name": "old"}), wal("delete", "users", None, {"id": 1}), wal("insert", "users", {"id": 1, "name": "again"})]
+    changes += [wal("insert", "users", {"id": 2, "name": "Y"}), wal("update", "users", {"id": 2, "name": "Z"}), wal("update", "users", {"id": 2, "name": "A"})]
+    changes += [wal("insert", "users", {"id": 3, "name": "gone"}), wal("delete", "users", None, {"id": 3})]
+    return json.dumps({"xid": 7, "nextlsn": lsn, "change": changes})
+
+
+@pytest.mark.parametrize("policy", ["source_wins", "log_and_skip"])
+def test_large_transaction_keeps_its_order(spark, tmp_path, policy):
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=3)
+    apply.apply_events(store, events(spark, [EVENTS[0], EVENTS[3]]), SCHEMA, CONFIG)  # buckets with whole sequences only
+    before = changelog.parse_wal2json(spark.createDataFrame([(large_transaction("0/8"),)], "value string"))
+    log = changelog.parse_wal2json(spark.createDataFrame([(large_transaction("FF/30"),)], "value string"))
+    names = lambda: {r._key: r.name for r in store.documents("users").collect() if int(r._key) < 1000}
+    apply.apply_events(store, before, SCHEMA, CONFIG)
+    assert names() == {"1": "b", "2": "A"}
+    for _ in range(2):
+        apply.apply_events(store, log, SCHEMA, CONFIG, policy)
+        assert names() == {"1": "again", "2": "A"} and store.documents("users").count() == 1102
+    apply.apply_events(store, events(spark, [{**EVENTS[3], "lsn": "FF/31"}]), SCHEMA, CONFIG)
+    assert names() == {"1": "b", "2": "A"}
+    assert {r._seq for r in store.state("users").where("_key = '1'").collect()} == {0xFF00000031 * 1024}
+
+
+def test_versions_of_a_large_transaction(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import temporal
+
+    log = apply.sequenced(changelog.parse_wal2json(spark.createDataFrame([(large_transaction("FF/30"),)], "value string")))
+    changes = apply.vertex_changes(log, USERS, CONFIG.collections["users"], CONFIG).withColumn("ts", F.lit(5))
+    found = [(r._version, r.name) for r in temporal.versions_from_log(changes.where("_key = '2'")).orderBy("_version").collect()]
+    assert found == [(0, "Y"), (1, "Z"), (2, "A")]
+    assert log.agg(F.max("seq")).first()[0] % 1 * 10**10 == 1107
