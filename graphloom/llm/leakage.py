@@ -28,8 +28,8 @@ EXACT_WORDS, STRETCH_WORDS, EDIT_RATE = 16, 30, 8
 COVERED_WORDS, BAND = 8, 8
 #: Test seeds are broadcast while their counted rows, at SEED_BYTES each, stay under this size.
 BROADCAST_BYTES, SEED_BYTES = 64 << 20, 48
-#: Words broken by line breaks are joined with the help of the test words while there are at most
-#: so many different ones.
+#: Words broken by line breaks are joined with the help of the test words. Up to so many different
+#: ones are broadcast; beyond, each document gets those it may look up by a join.
 VOCABULARY_WORDS = 500_000
 
 
@@ -57,6 +57,30 @@ def repaired(tokens: list[str], vocabulary: frozenset[str] | set[str]) -> list[s
     return out
 
 
+def lookups(text: str | None, longest: int) -> set[str]:
+    """All strings of up to `longest` characters that words() and repaired() may look up in a
+    vocabulary for a text: what starts anywhere in a word, or as a part of it, and ends with that
+    word or one of those after it, and the beginnings of words."""
+    tokens, out = words(text), set()
+    for at, token in enumerate(tokens):
+        out.update(token[:i] for i in range(1, min(len(token), longest) + 1))
+        after, length = [], 0  # the words after it, as far as one more character leaves room
+        for following in tokens[at + 1 :]:
+            length += len(following)
+            if length >= longest:
+                break
+            after.append(following)
+        for i in range(max(0, len(token) - longest), len(token)):
+            joined = token[i:]
+            out.add(joined)
+            for following in after:
+                joined += following
+                if len(joined) > longest:
+                    break
+                out.add(joined)
+    return out
+
+
 def places_of(passage: list[str]) -> dict[str, list[int]]:
     places: dict[str, list[int]] = {}
     for i, word in enumerate(passage):
@@ -138,7 +162,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...]
     `documents` has doc_id and text, `items` eval_id and passage; other columns are ignored. NULL
     and blank texts and passages of under EXACT_WORDS words match nothing. Whole texts are read;
     repeated documents are each reported. Test seeds are broadcast while small; beyond, both sides
-    are shuffled by seed and adaptive execution splits hot ones.
+    are shuffled by seed and adaptive execution splits hot ones. Test words are broadcast while few;
+    beyond, what a document may look up is joined to them.
     """
     items = items.select("eval_id", "passage").where("passage is not null")
     span = min(map(len, masks))
@@ -158,14 +183,31 @@ def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...]
 
     distinct = items.mapInPandas(passage_words, "word string").distinct()
     listed = distinct.limit(VOCABULARY_WORDS + 1).collect()
-    vocabulary = frozenset(r["word"] for r in listed) if len(listed) <= VOCABULARY_WORDS else frozenset()
-    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    few = len(listed) <= VOCABULARY_WORDS
+    known = documents.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in listed) if few else frozenset())
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    if few:
+        texts = texts.withColumn("words", F.lit(None).cast("array<string>"))
+    else:
+        longest = distinct.agg(F.max(F.length("word"))).first()[0]
+
+        def document_lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, text in zip(batch["doc_id"], batch["text"]):
+                    yield pd.DataFrame({"doc_id": key, "word": sorted(lookups(text, longest))}).astype({"doc_id": "int64", "word": object})
+
+        asked = spread(texts).mapInPandas(document_lookups, "doc_id bigint, word string")
+        own = asked.join(distinct, "word", "left_semi").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+        texts = texts.join(own.persist(), "doc_id", "left")
+
+    def vocabulary(own: list[str] | None) -> frozenset[str]:
+        return known.value if own is None else frozenset(own)
 
     def document_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, found, places = [], [], []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                tokens = words(text, known.value)
+            for key, text, own in zip(batch["doc_id"], batch["text"], batch["words"]):
+                tokens = words(text, vocabulary(own))
                 if len(tokens) >= EXACT_WORDS:
                     hashed = seeds(tokens, masks)
                     keys.append(key)
@@ -173,7 +215,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...]
                     places.append([p for _, p in hashed])
             yield pd.DataFrame({"doc_id": pd.Series(keys, dtype="int64"), "seed": pd.Series(found, dtype=object), "place": pd.Series(places, dtype=object)})
 
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     trained = spread(texts).mapInPandas(document_seeds, "doc_id bigint, seed array<bigint>, place array<int>")
     trained = trained.select("doc_id", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("doc_id", "s.seed", "s.place")
     small = count * SEED_BYTES <= BROADCAST_BYTES
@@ -186,21 +227,21 @@ def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...]
     # One row per document meets its text, so that a text is moved and read once for all its items;
     # the partitioning by number keeps all cores busy.
     wanted = pairs.repartition(parallelism(documents.sparkSession), "doc_id").groupBy("doc_id").agg(F.collect_list("eval_id").alias("ids"))
-    with_text = wanted.join(texts, "doc_id").select("doc_id", "text", F.explode("ids").alias("eval_id"))
-    candidates = with_text.join(F.broadcast(items) if small else items, "eval_id").select("doc_id", "eval_id", "text", "passage")
+    with_text = wanted.join(texts, "doc_id").select("doc_id", "text", "words", F.explode("ids").alias("eval_id"))
+    candidates = with_text.join(F.broadcast(items) if small else items, "eval_id").select("doc_id", "eval_id", "text", "words", "passage")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = (None, None, None)
         tested: dict[int, tuple[list[str], dict[str, list[int]]]] = {}
         for batch in batches:
             kept = []
-            for doc, key, text, passage in batch[["doc_id", "eval_id", "text", "passage"]].itertuples(index=False, name=None):
+            for doc, key, text, own, passage in batch[["doc_id", "eval_id", "text", "words", "passage"]].itertuples(index=False, name=None):
                 if key not in tested:
                     whole = words(passage)
                     tested[key] = (whole, places_of(whole))
                 whole, places = tested[key]
                 if last[0] != text:
-                    tokens = repaired(words(text, known.value), known.value) if known.value else words(text)
+                    tokens = repaired(words(text, vocabulary(own)), vocabulary(own))
                     last = (text, tokens, set(tokens))
                 if may_hold(last[2], whole) and holds(last[1], whole, places):
                     kept.append((doc, key))

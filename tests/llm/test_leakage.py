@@ -218,3 +218,25 @@ def test_verification_against_brute_force():
         d, p = words(document), words(wanted)
         assert leakage.holds(d, p) == want, (document, wanted)
         assert leakage.may_hold(set(d), p) or not want
+
+
+def test_many_test_words_change_nothing(spark, material, monkeypatch):
+    _, items, prose = material
+    docs = [(n, prose[n % 8] + "\n\n" + f(" ".join(items[n % 6 + 1].split()[5:35])) + "\n\n" + prose[(n + 1) % 8]) for n, f in enumerate(DISGUISES.values())]
+    docs += [(90, "\n".join(w[i : i + 2] for w in items[1].split() for i in range(0, len(w), 2))), (91, "".join(items[2].split()[:2]) + items[2]), (91, None), (92, prose[0]), (93, "")]
+    want = run(spark, docs, items.items())
+    assert {(n, n % 6 + 1) for n in range(len(DISGUISES))} <= want
+    monkeypatch.setattr(leakage, "VOCABULARY_WORDS", 0)
+    assert run(spark, docs, items.items()) == want
+    assert run(spark, docs, []) == run(spark, [], items.items()) == set()
+
+
+def test_lookups_are_all_that_is_looked_up():
+    pick = random.Random(12)
+    for _ in range(2000):
+        word = lambda: "".join(pick.choice("ab") for _ in range(pick.randrange(1, 5)))
+        vocabulary = {word() + pick.choice(("", word())) for _ in range(pick.randrange(1, 40))}
+        text = "".join(word() + pick.choice((" ", "\n", "\n", "\n> ", " " * 3)) for _ in range(pick.randrange(30)))
+        own = leakage.lookups(text, max(map(len, vocabulary))) & vocabulary
+        assert words(text, own) == words(text, vocabulary)
+        assert leakage.repaired(words(text, own), own) == leakage.repaired(words(text, vocabulary), vocabulary)
