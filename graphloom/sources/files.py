@@ -29,12 +29,12 @@ class DelimitedFolder:
     dump. All columns that look like text stay text, so that leading zeros survive in keys.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, delimiter: str | None = None, header: bool = True, sample_rows: int = 1000, base: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str, *, delimiter: str | None = None, header: bool = True, base: str | None = None):
         if base is not None:
             inner, outer = os.path.realpath(folder), os.path.realpath(base)
             if inner != outer and not inner.startswith(outer + os.sep):
                 raise OutsideBase(f"{folder} is outside {base}")
-        self.spark, self.folder, self.delimiter, self.header, self.sample_rows = spark, folder, delimiter, header, sample_rows
+        self.spark, self.folder, self.delimiter, self.header = spark, folder, delimiter, header
 
     def tables(self) -> dict[str, str]:
         if not os.path.isdir(self.folder):
@@ -68,10 +68,10 @@ class DelimitedFolder:
 
     def schema(self) -> model.Schema:
         """Tables with inferred types and a guessed primary key: the first of id, {table}_id,
-        {singular}_id, {table}id, {singular}id that is unique and not NULL in the first rows."""
+        {singular}_id, {table}id, {singular}id that is unique and not NULL in all rows."""
         out = model.Schema()
         for name in self.tables():
-            df = self.rows(name).limit(self.sample_rows)
+            df = self.rows(name)
             low, one = name.lower(), singularize(name.lower())
             guesses = list(dict.fromkeys(["id", f"{low}_id", f"{one}_id", f"{low}id", f"{one}id"]))
             at = {c.lower(): c for c in df.columns}

@@ -5,9 +5,11 @@ import pytest
 
 from graphloom import model
 from graphloom.operators import project
+from graphloom.plans import loading
 from graphloom.plans.mapping import auto_map
 from graphloom.sources import databases, files
 from graphloom.sources.files import DelimitedFolder
+from graphloom.sources.store import GraphStore
 
 
 @pytest.fixture
@@ -97,3 +99,16 @@ def test_factory(spark, folder, monkeypatch):
     assert databases.create_source(spark, "postgresql", "jdbc:postgresql://h/$DUMPS").url.endswith(str(folder))
     with pytest.raises(ValueError):
         databases.create_source(spark, "odd", "x")
+
+
+def test_key_holds_in_the_whole_file(spark, tmp_path):
+    numbers = [*range(1500), 3, 4]
+    (tmp_path / "t.csv").write_text("id,t_id,x\n" + "".join(f"{n},{i},v{i}\n" for i, n in enumerate(numbers)))
+    (tmp_path / "late.csv").write_text("id,x\n" + "".join(f"{n if n < 1200 else ''},v\n" for n in range(1300)))
+    source = DelimitedFolder(spark, str(tmp_path))
+    schema = source.schema()
+    assert schema.tables["t"].primary_key == ["t_id"] and schema.tables["late"].primary_key == []
+    store = GraphStore(spark, str(tmp_path / "store"), buckets=2)
+    done = loading.load_graph(store, schema, auto_map(schema), source.rows)
+    assert done.errors == {} and done.documents == {"t": len(numbers), "late": 1300}
+    assert store.documents("t").count() == len(numbers) and store.documents("late").count() == 1300
