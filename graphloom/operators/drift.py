@@ -2,18 +2,21 @@
 
 Rescue-column ingestion: each file's table objects are read into one target schema; fields that
 the target does not know, or that do not cast, stay as JSON in a rescue column. Approved aliases
-are promoted: their rescued values are replayed into the typed columns. The list of changes
-compares the fields of each table with those in the file before it of the same origin.
+are promoted: their rescued values are replayed into the typed columns, from the stored column,
+also when they are approved later. The ingested table keeps an inventory of the fields as received
+(name, type, digest of the value), from which the list of changes is read: it compares each table
+with that in the file before it of the same origin.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.scan import previous_in_group
+from graphloom.operators.scan import annotate_groups
 
 
 @dataclass(frozen=True)
@@ -43,13 +46,13 @@ SNAPSHOT_TARGET = Target(
 
 
 def explode_fields(files: DataFrame) -> DataFrame:
-    """(file_id, origin, captured_at, received_at, table_name, table_json, fields map<string,variant>) per table object.
+    """(file_id, origin, captured_at, received_at, body_digest, table_name, table_json, fields map<string,variant>) per table object.
 
     A body that is no JSON object with `tables`, or a NULL one, has no tables. An entry that is no
     object has a NULL map.
     """
     tables = F.expr("try_variant_get(try_parse_json(body), '$.tables', 'map<string,variant>')")
-    return files.select("file_id", "origin", "captured_at", "received_at", F.explode(tables).alias("table_name", "table_json")).withColumn(
+    return files.select("file_id", "origin", "captured_at", "received_at", F.md5("body").alias("body_digest"), F.explode(tables).alias("table_name", "table_json")).withColumn(
         "fields", F.expr("try_cast(table_json AS map<string,variant>)")
     )
 
@@ -84,47 +87,97 @@ def _typed(variant: str, kind: str) -> Column:
     return F.expr(f"CASE WHEN {_kind(variant)} IN ('object','array') THEN NULL ELSE try_variant_get({variant}, '$', '{kind}') END")
 
 
-def ingest(files: DataFrame, target: Target = SNAPSHOT_TARGET) -> DataFrame:
+def _inventory() -> Column:
+    """The fields of a table object as received: name, kind, kind of the first element of an array
+    (NULL if there is none), and a digest of the value as canonical JSON (keys in order)."""
+    first = "try_variant_get(e.value, '$[0]', 'variant')"
+    return F.expr(
+        f"transform(map_entries(fields), e -> named_struct('name', e.key, 'kind', {_kind('e.value')}, "
+        f"'element', CASE WHEN {first} IS NOT NULL THEN {_kind(first)} END, 'digest', md5(to_json(e.value))))"
+    )
+
+
+def column_of(name: str) -> str:
+    """The column of a target field; that of `columns` has a name of its own."""
+    return f"tbl_{name}" if name == "columns" else name
+
+
+def ingest(files: DataFrame, target: Target = SNAPSHOT_TARGET, replayed: bool = True) -> DataFrame:
     """One consistent table: a row per file and table object with the target's typed columns,
-    `rescued` (JSON of unknown and uncastable fields, NULL if there are none) and `promoted_from`
-    (target columns that were filled from an alias, with the alias).
+    `rescued` (JSON of unknown and uncastable fields, NULL if there are none), `promoted_from`
+    (target columns that were filled from an alias, with the alias), `received` (an inventory of
+    all fields of the object, NULL if it is no object) and `body_digest`.
 
-    Every field of every file ends up in a typed column or in `rescued`. Files that come twice
-    give rows twice (their ids differ). NULL and malformed bodies give no rows.
+    Every field of every file ends up in a typed column or in `rescued`. Without `replayed` the
+    approved aliases stay in `rescued`. Files that come twice give rows twice (their ids differ).
+    NULL and malformed bodies give no rows.
     """
-    rows = explode_fields(files)
-    entry = lambda name: f"fields['{name}']"
-    out = rows
+    out = explode_fields(files)
     for name, kind in target.columns.items():
-        out = out.withColumn(f"own_{name}", _typed(entry(name), kind))
-    promoted = []
-    for name, aliases in target.promoted.items():
-        for alias in aliases:
-            out = out.withColumn(f"alias_{name}_{alias}", _typed(entry(alias), target.columns[name]))
-        picks = [F.when(F.col(f"own_{name}").isNull() & F.col(f"alias_{name}_{a}").isNotNull(), F.lit(a)) for a in aliases]
-        out = out.withColumn(f"from_{name}", F.coalesce(*picks))
-        promoted.append(name)
+        out = out.withColumn(f"own_{name}", _typed(f"fields['{name}']", kind))
     tests = [f"(k = '{n}' AND (own_{n} IS NOT NULL OR is_variant_null(v)))" for n in target.columns]
-    tests += [f"coalesce(k = from_{n}, false)" for n in promoted]
-    rescued = F.expr(f"map_filter(fields, (k, v) -> NOT ({' OR '.join(tests)}))")
-    values = []
-    for name in target.columns:
-        choices = [F.col(f"own_{name}")] + [
-            F.when(F.col(f"from_{name}") == a, F.col(f"alias_{name}_{a}")) for a in target.promoted.get(name, ())
-        ]
-        values.append(F.coalesce(*choices).alias(f"tbl_{name}" if name == "columns" else name))
-    origins = [F.when(F.col(f"from_{n}").isNotNull(), F.concat(F.lit(f"{n}<-"), F.col(f"from_{n}"))) for n in promoted]
-    return out.withColumn("rescue_map", rescued).select(
+    out = out.withColumn("rescue_map", F.expr(f"map_filter(fields, (k, v) -> NOT ({' OR '.join(tests)}))"))
+    table = out.select(
         "file_id",
         "origin",
         "captured_at",
         "table_name",
-        *values,
-        F.when(F.size("rescue_map") > 0, F.to_json("rescue_map"))
-        .when(F.col("fields").isNull(), F.to_json("table_json"))
-        .alias("rescued"),
-        F.nullif(F.concat_ws(",", *origins), F.lit("")).alias("promoted_from"),
+        *[F.col(f"own_{name}").alias(column_of(name)) for name in target.columns],
+        F.when(F.size("rescue_map") > 0, F.to_json("rescue_map")).when(F.col("fields").isNull(), F.to_json("table_json")).alias("rescued"),
+        F.lit(None).cast("string").alias("promoted_from"),
+        _inventory().alias("received"),
+        "body_digest",
     )
+    return replay(table, target) if replayed else table
+
+
+def replay(table: DataFrame, target: Target) -> DataFrame:
+    """An ingested table with the rescued values of the target's approved aliases replayed into its
+    typed columns: where a column is NULL, the first alias whose rescued value casts fills it,
+    leaves `rescued` and is noted in `promoted_from`. Values that do not cast stay rescued.
+
+    Aliases that are approved after the ingestion are replayed from the stored table alone.
+    """
+    promoted = {name: aliases for name, aliases in target.promoted.items() if aliases}
+    if not promoted:
+        return table
+    out = table.withColumn("rescue_map", F.expr("try_cast(try_parse_json(rescued) AS map<string,variant>)"))
+    change: dict[str, Column] = {}
+    for name, aliases in promoted.items():
+        for alias in aliases:
+            out = out.withColumn(f"alias_{name}_{alias}", _typed(f"rescue_map['{alias}']", target.columns[name]))
+        free = F.col(column_of(name)).isNull()
+        out = out.withColumn(f"from_{name}", F.coalesce(*[F.when(free & F.col(f"alias_{name}_{a}").isNotNull(), F.lit(a)) for a in aliases]))
+        change[column_of(name)] = F.coalesce(column_of(name), *[F.when(F.col(f"from_{name}") == a, F.col(f"alias_{name}_{a}")) for a in aliases])
+    moved = reduce(lambda a, b: a | b, [F.col(f"from_{n}").isNotNull() for n in promoted])
+    left = F.expr(f"map_filter(rescue_map, (k, v) -> NOT ({' OR '.join(f'coalesce(k = from_{n}, false)' for n in promoted)}))")
+    notes = [F.when(F.col(f"from_{n}").isNotNull(), F.concat(F.lit(f"{n}<-"), F.col(f"from_{n}"))) for n in promoted]
+    change["rescued"] = F.when(~moved, F.col("rescued")).when(F.size(left) > 0, F.to_json(left))
+    change["promoted_from"] = F.nullif(F.concat_ws(",", "promoted_from", *notes), F.lit(""))
+    return out.select([change[c].alias(c) if c in change else F.col(c) for c in table.columns])
+
+
+def typed_summary(table: DataFrame, target: Target = SNAPSHOT_TARGET) -> DataFrame:
+    """An ingested table with its lists as comma-separated text, without its JSON columns, and with
+    the names of the rescued and of all received fields in order."""
+    cells = [F.array_join(n, ",").alias(n) if k == "array<string>" else F.col(n) for n, k in target.columns.items() if k != "json"]
+    rescued = F.array_sort(F.map_keys(F.expr("try_cast(try_parse_json(rescued) AS map<string,variant>)")))
+    listed = lambda names: F.coalesce(F.array_join(names, ","), F.lit(""))
+    return table.select(
+        "file_id", "origin", "captured_at", "table_name", *cells, listed(rescued).alias("rescued_fields"),
+        listed(F.array_sort(F.expr("received.name"))).alias("received_fields"), F.coalesce("promoted_from", F.lit("")).alias("promoted_from"),
+    )
+
+
+def _steps(files: DataFrame) -> DataFrame:
+    """(file_id, body_digest, place, next_id): the files of each origin in order.
+
+    Of several rows with one file_id the first by captured_at, origin and digest of the body counts.
+    """
+    version = F.struct("captured_at", "origin", F.md5("body").alias("body_digest"))
+    keys = files.groupBy("file_id").agg(F.min(version).alias("v")).select("file_id", "v.*")
+    ordered = annotate_groups(keys, "origin", ["captured_at", "file_id"], number="place", lead={"file_id": "next_id"})
+    return ordered.select("file_id", "body_digest", "place", "next_id")
 
 
 def field_changes(files: DataFrame) -> DataFrame:
@@ -132,65 +185,45 @@ def field_changes(files: DataFrame) -> DataFrame:
     before it of its origin, by captured_at, then file_id.
 
     Kinds: added, removed, renamed (equal values, unique among the vanished and new fields of the
-    step), retyped. Values are compared as canonical JSON (keys sorted). NULL origins form one
-    series. Repeated rows of one file_id are one file, rows without one none. A table that appears or disappears as a
-    whole is no change; an empty input gives an empty result.
+    step), retyped. The fields are those in the inventory of the ingested table; values are
+    compared as canonical JSON (keys sorted), by digest. NULL origins form one series. Repeated
+    rows of one file_id are one file, rows without one none. A table that appears or disappears as
+    a whole is no change; an empty input gives an empty result.
     """
     files = files.where("file_id is not null")
-    keys = files.select("file_id", "origin", "captured_at").dropDuplicates(["file_id"])
-    steps = previous_in_group(keys, "origin", ["captured_at", "file_id"], "file_id", "prev_id").where("prev_id is not null").select("file_id", "prev_id")
-    tables = explode_fields(files.dropDuplicates(["file_id"])).where("fields is not null").select("file_id", "table_name", "fields")
-    later = steps.join(tables, "file_id")
-    earlier = tables.select(F.col("file_id").alias("prev_id"), "table_name", F.col("fields").alias("old_fields"))
-    both = later.join(earlier, ["prev_id", "table_name"])
-    cells = both.select(
-        "file_id", "table_name", "fields", "old_fields", F.explode(F.expr("array_union(map_keys(old_fields), map_keys(fields))")).alias("f")
-    ).select(
-        "file_id",
-        "table_name",
-        "f",
-        F.expr("map_contains_key(old_fields, f)").alias("was"),
-        F.expr("map_contains_key(fields, f)").alias("now"),
-        F.expr("old_fields[f]").alias("o"),
-        F.expr("fields[f]").alias("n"),
-    )
-    element = lambda v: f"try_variant_get({v}, '$[0]', 'variant')"
-    cells = cells.select(
-        "file_id",
-        "table_name",
-        "f",
-        "was",
-        "now",
-        F.expr("CASE WHEN NOT now THEN to_json(o) WHEN NOT was THEN to_json(n) END").alias("value"),
-        F.expr(_kind("o")).alias("ok"),
-        F.expr(_kind("n")).alias("nk"),
-        F.expr(_kind(element("o"))).alias("oe"),
-        F.expr(_kind(element("n"))).alias("ne"),
-        F.expr(f"{element('o')} IS NULL").alias("o_empty"),
-        F.expr(f"{element('n')} IS NULL").alias("n_empty"),
-    )
-    differs = (
-        "(ok <> 'null' AND nk <> 'null' AND (ok <> nk OR "
-        "(ok = 'array' AND NOT o_empty AND NOT n_empty AND oe <> 'null' AND ne <> 'null' AND oe <> ne)))"
-    )
-    retyped = cells.where(f"was AND now AND {differs}").select(
-        "file_id", "table_name", F.col("f").alias("old_field"), F.col("f").alias("new_field"), F.lit("retyped").alias("change_kind")
+    table = ingest(files, replayed=False).where("received is not null").select("file_id", "body_digest", "table_name", "received")
+    placed = table.join(_steps(files), ["file_id", "body_digest"])
+    # Each body is parsed once: a table object counts for the step to its own file and for the next.
+    nothing = F.lit(None).cast(table.schema["received"].dataType)
+    own = F.struct(F.when(F.col("place") > 0, F.col("file_id")).alias("step"), F.col("received").alias("now"), nothing.alias("was"))
+    following = F.struct(F.col("next_id").alias("step"), nothing.alias("now"), F.col("received").alias("was"))
+    sides = placed.select("table_name", F.explode(F.array(own, following)).alias("s")).where("s.step is not null").select(F.col("s.step").alias("file_id"), "table_name", "s.now", "s.was")
+    both = sides.groupBy("file_id", "table_name").agg(F.first("was", ignorenulls=True).alias("was"), F.first("now", ignorenulls=True).alias("now")).where("was is not null and now is not null")
+    # From here on rows stay where the grouping by step and table has put them.
+    none = "cast(null as struct<name:string,kind:string,element:string,digest:string>)"
+    cells = (
+        both.select("file_id", "table_name", F.explode(F.expr(f"concat(transform(was, x -> named_struct('o', x, 'n', {none})), transform(now, x -> named_struct('o', {none}, 'n', x)))")).alias("f"))
+        .groupBy("file_id", "table_name", F.coalesce("f.o.name", "f.n.name").alias("f"))
+        .agg(F.max("f.o").alias("o"), F.max("f.n").alias("n"))
     )
-    # The fields of one table object are few, so a step's moved fields are grouped by value.
-    moved = (
-        cells.where("NOT (was AND now)")
-        .groupBy("file_id", "table_name", F.coalesce("value", F.lit("null")).alias("value"))
-        .agg(F.collect_list(F.expr("CASE WHEN was THEN f END")).alias("gone"), F.collect_list(F.expr("CASE WHEN now THEN f END")).alias("come"))
+    elements = "(o.kind = 'array' AND coalesce(o.element <> 'null' AND n.element <> 'null' AND o.element <> n.element, false))"
+    retyped = f"(o IS NOT NULL AND n IS NOT NULL AND o.kind <> 'null' AND n.kind <> 'null' AND (o.kind <> n.kind OR {elements}))"
+    value = "coalesce(o, n)"
+    moves = (
+        cells.withColumn("retyped", F.expr(retyped))
+        .where("retyped OR o IS NULL OR n IS NULL")
+        .groupBy("file_id", "table_name", "retyped", F.expr(f"CASE WHEN retyped THEN f ELSE {value}.digest END").alias("what"), F.expr(f"{value}.kind = 'null'").alias("empty"))
+        .agg(F.collect_list(F.expr("CASE WHEN o IS NOT NULL THEN f END")).alias("gone"), F.collect_list(F.expr("CASE WHEN n IS NOT NULL THEN f END")).alias("come"))
     )
-    pair = "size(gone) = 1 AND size(come) = 1 AND value <> 'null'"
-    listed = moved.select(
+    pair = "size(gone) = 1 AND size(come) = 1"
+    return moves.select(
         "file_id",
         "table_name",
         F.explode(
             F.expr(
-                f"CASE WHEN {pair} THEN array(named_struct('o', gone[0], 'n', come[0], 'k', 'renamed')) "
+                f"CASE WHEN retyped THEN array(named_struct('o', gone[0], 'n', come[0], 'k', 'retyped')) "
+                f"WHEN {pair} AND NOT empty THEN array(named_struct('o', gone[0], 'n', come[0], 'k', 'renamed')) "
                 "ELSE concat(transform(gone, x -> named_struct('o', x, 'n', '', 'k', 'removed')), transform(come, x -> named_struct('o', '', 'n', x, 'k', 'added'))) END"
             )
         ).alias("c"),
     ).select("file_id", "table_name", F.col("c.o").alias("old_field"), F.col("c.n").alias("new_field"), F.col("c.k").alias("change_kind"))
-    return retyped.unionByName(listed)

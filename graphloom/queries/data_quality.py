@@ -28,6 +28,10 @@ def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.ingest(read_table(spark, folder, "reference_schema"))
 
 
+def p2_typed(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.typed_summary(drift.ingest(read_table(spark, folder, "reference_schema")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     path = lambda t: os.path.join(folder, f"{t}.parquet")
     return quality.table_findings(
@@ -86,4 +90,4 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_books, p2_found, p2_table, p3_found, p3_profile, p4_found, p4_periods, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_books, p2_found, p2_table, p2_typed, p3_found, p3_profile, p4_found, p4_periods, p5_found, p5_report)}

@@ -84,6 +84,47 @@ def _p2() -> str:
     return re.sub(r"\bc\((ov|nv)\)", lambda m: canon.format(m[1]), text)
 
 
+def _p2_typed() -> str:
+    """The ingested table with the approved aliases, in DuckDB's JSON functions."""
+    from graphloom.operators.drift import SNAPSHOT_TARGET as target
+
+    def cast(x: str, kind: str) -> str:
+        i = f"(CASE WHEN json_type({x}) = 'OBJECT' THEN coalesce(json_extract({x}, '$.columns'), json_extract({x}, '$.value'), {x}) ELSE {x} END)"
+        if kind == "array<string>":
+            return (
+                f"CASE json_type({i}) WHEN 'VARCHAR' THEN array_to_string(list_transform(string_split({i}->>'$', ','), lambda p: trim(p)), ',') "
+                f"WHEN 'ARRAY' THEN array_to_string(CAST({i} AS VARCHAR[]), ',') END"
+            )
+        if kind == "boolean":
+            return (
+                f"CASE json_type({i}) WHEN 'BOOLEAN' THEN CAST({i} AS BOOLEAN) WHEN 'VARCHAR' THEN CASE WHEN lower({i}->>'$') IN ('true','t','yes','y','1') THEN true "
+                f"WHEN lower({i}->>'$') IN ('false','f','no','n','0') THEN false END WHEN 'UBIGINT' THEN CAST({i}->>'$' AS BIGINT) <> 0 WHEN 'BIGINT' THEN CAST({i}->>'$' AS BIGINT) <> 0 END"
+            )
+        if kind == "json":
+            return f"CASE WHEN json_type({x}) <> 'NULL' THEN 'there' END"
+        return f"CASE WHEN json_type({x}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {x}->>'$' END"
+
+    get = lambda field: f"json_extract(o, '$.\"{field}\"')"
+    own = [f"{cast(get(n), kind)} AS own_{n}" for n, kind in target.columns.items()]
+    own += [f"{cast(get(a), target.columns[n])} AS alias_{a}" for n, aliases in target.promoted.items() for a in aliases]
+    picked = [f"CASE {' '.join(f'WHEN own_{n} IS NULL AND alias_{a} IS NOT NULL THEN {chr(39)}{a}{chr(39)}' for a in aliases)} END AS from_{n}" for n, aliases in target.promoted.items()]
+    value = lambda n: f"CASE from_{n} {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN alias_{a}' for a in target.promoted[n])} ELSE own_{n} END" if n in target.promoted else f"own_{n}"
+    cells = ", ".join(f"{value(n)} AS {n}" for n, kind in target.columns.items() if kind != "json")
+    typed = " OR ".join(f"(k = '{n}' AND (own_{n} IS NOT NULL OR json_type({get(n)}) = 'NULL'))" for n in target.columns)
+    used = " OR ".join(f"coalesce(k = from_{n}, false)" for n in target.promoted)
+    notes = ", ".join(f"'{n}<-' || from_{n}" for n in target.promoted)
+    return f"""
+WITH t AS (
+  SELECT file_id, origin, captured_at, unnest(json_keys(body, '$.tables')) AS table_name, body FROM reference_schema WHERE json_valid(body)
+), j AS (
+  SELECT file_id, origin, captured_at, table_name, json_extract(body, '$.tables."' || table_name || '"') AS o FROM t
+), c AS (
+  SELECT *, CASE WHEN json_type(o) = 'OBJECT' THEN list_sort(json_keys(o)) ELSE [] END AS ks, {', '.join(own)} FROM j
+), p AS (SELECT *, {', '.join(picked)} FROM c)
+SELECT file_id, origin, captured_at, table_name, {cells}, array_to_string(list_filter(ks, lambda k: NOT ({typed} OR {used})), ',') AS rescued_fields,
+  array_to_string(ks, ',') AS received_fields, concat_ws(',', {notes}) AS promoted_from FROM p"""
+
+
 def _p3_found(table: str, column: str) -> str:
     return rf"""
 SELECT '{table}' AS table_name, '{column}' AS column_name, feed, CAST(load_no AS BIGINT) AS load_no, finding FROM (
@@ -170,6 +211,7 @@ def sql() -> dict[str, str]:
         "p1_books": _P1
         + "SELECT line_id, file_name, try_cast(trim(id) AS BIGINT) AS id, title, try_cast(trim(author_id) AS BIGINT) AS author_id, nullif(genre, '') AS genre, try_cast(published AS INT) AS published FROM why WHERE reason IS NULL",
         "p2_found": _p2(),
+        "p2_typed": _p2_typed(),
         "p3_found": " UNION ALL ".join(_p3_found(*x) for x in (("members", "city"), ("books", "genre"), ("authors", "country"))),
         "p3_profile": _p3_profile(),
         "p4_found": _P4 + "SELECT book_id, kind, from_day, to_day FROM x WHERE kind = 'gap' OR shared",

@@ -1,6 +1,6 @@
 import json
 
-from graphloom.operators.drift import field_changes, ingest
+from graphloom.operators.drift import Target, field_changes, ingest, replay
 
 SCHEMA = "file_id bigint, origin string, captured_at timestamp, received_at timestamp, body string, name string"
 
@@ -63,3 +63,23 @@ def test_ingest_promotes_and_rescues(spark):
     assert (out["v"].primary_key, out["v"].is_partitioned, out["v"].name) == (["a"], False, "7")
     assert json.loads(out["v"].rescued) == {"pk": ["b"], "is_partitioned": {"odd": 1}}
     assert out["w"].rescued == "5"
+
+
+def test_replay_from_the_stored_table(spark, tmp_path):
+    known = {"name": "string", "primary_key": "array<string>"}
+    bodies = [(1, "o", "2024-01-01", {"u": {"name": "u", "pk": ["a", "b"], "x": 1}, "v": {"key": "c"}, "w": {"primary_key": ["d"], "pk": ["e"]}, "odd": 3}), (2, "o", "2024-01-02", {"u": {"pk": {"no": 1}, "key": "f"}})]
+    ingest(files(spark, bodies), Target(known)).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert stored.where("promoted_from is not null").count() == 0
+    out = {(r.file_id, r.table_name): r for r in replay(stored, Target(known, {"primary_key": ("pk", "key")})).collect()}
+    assert {k: (r.primary_key, r.promoted_from) for k, r in out.items()} == {
+        (1, "u"): (["a", "b"], "primary_key<-pk"), (1, "v"): (["c"], "primary_key<-key"), (1, "w"): (["d"], None), (1, "odd"): (None, None), (2, "u"): (["f"], "primary_key<-key"),
+    }
+    assert {k: r.rescued and json.loads(r.rescued) for k, r in out.items()} == {(1, "u"): {"x": 1}, (1, "v"): None, (1, "w"): {"pk": ["e"]}, (1, "odd"): 3, (2, "u"): {"pk": {"no": 1}}}
+    assert {f.name for f in out[1, "u"].received} == {"name", "pk", "x"}
+
+
+def test_one_id_with_two_bodies_counts_once(spark):
+    first, other = {"u": {"k": 1}, "v": {"k": 1}}, {"u": {"k": "x"}, "w": {"k": 1}}
+    rows = [(1, "o", "2024-01-01", first), (2, "o", "2024-01-02", first), (2, "p", "2024-01-03", other), (3, "o", "2024-01-04", {"u": {"k": True}, "w": {"k": "y"}})]
+    assert changes(spark, rows) == changes(spark, rows[::-1]) == [(3, "u", "k", "k", "retyped")]
