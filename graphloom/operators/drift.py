@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.scan import annotate_groups
+from graphloom.plans.runtime import cut
+
+
+#: The places of files are broadcast while the counted rows, at STEP_BYTES each, stay under this size.
+BROADCAST_BYTES, STEP_BYTES = 16 << 20, 128
 
 
 @dataclass(frozen=True)
@@ -89,12 +94,14 @@ def _typed(variant: str, kind: str) -> Column:
 
 def _inventory() -> Column:
     """The fields of a table object as received: name, kind, kind of the first element of an array
-    (NULL if there is none), and a digest of the value as canonical JSON (keys in order)."""
-    first = "try_variant_get(e.value, '$[0]', 'variant')"
-    return F.expr(
-        f"transform(map_entries(fields), e -> named_struct('name', e.key, 'kind', {_kind('e.value')}, "
-        f"'element', CASE WHEN {first} IS NOT NULL THEN {_kind(first)} END, 'digest', md5(to_json(e.value))))"
-    )
+    (NULL if there is none), and a digest of the value as canonical JSON (keys in order).
+
+    Canonical JSON has no white space, so its first characters tell the kinds."""
+    kinds = {'"': "string", "{": "object", "[": "array", "t": "boolean", "f": "boolean", "n": "null"}
+    kind = lambda mark: f"CASE {mark} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in kinds.items())} ELSE 'number' END"
+    texts = "transform(map_entries(fields), e -> named_struct('name', e.key, 'json', to_json(e.value)))"
+    element = f"CASE WHEN substr(e.json, 1, 1) = '[' AND e.json <> '[]' THEN {kind('substr(e.json, 2, 1)')} END"
+    return F.expr(f"transform({texts}, e -> named_struct('name', e.name, 'kind', {kind('substr(e.json, 1, 1)')}, 'element', {element}, 'digest', md5(e.json)))")
 
 
 def column_of(name: str) -> str:
@@ -177,7 +184,7 @@ def _steps(files: DataFrame) -> DataFrame:
     version = F.struct("captured_at", "origin", F.md5("body").alias("body_digest"))
     keys = files.groupBy("file_id").agg(F.min(version).alias("v")).select("file_id", "v.*")
     ordered = annotate_groups(keys, "origin", ["captured_at", "file_id"], number="place", lead={"file_id": "next_id"})
-    return ordered.select("file_id", "body_digest", "place", "next_id")
+    return cut(ordered.select("file_id", "body_digest", "place", "next_id"))
 
 
 def field_changes(files: DataFrame) -> DataFrame:
@@ -192,7 +199,9 @@ def field_changes(files: DataFrame) -> DataFrame:
     """
     files = files.where("file_id is not null")
     table = ingest(files, replayed=False).where("received is not null").select("file_id", "body_digest", "table_name", "received")
-    placed = table.join(_steps(files), ["file_id", "body_digest"])
+    steps = _steps(files)
+    small = steps.count() * STEP_BYTES <= BROADCAST_BYTES
+    placed = table.join(steps.hint("broadcast" if small else "merge"), ["file_id", "body_digest"])
     # Each body is parsed once: a table object counts for the step to its own file and for the next.
     nothing = F.lit(None).cast(table.schema["received"].dataType)
     own = F.struct(F.when(F.col("place") > 0, F.col("file_id")).alias("step"), F.col("received").alias("now"), nothing.alias("was"))
