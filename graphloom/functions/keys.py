@@ -64,6 +64,12 @@ def key(parts: list[tuple[Column, T.DataType]], separator: str = "_", trim: bool
     return F.when(present, F.concat_ws(separator, *texts))
 
 
+def content_key(parts: list[tuple[Column, T.DataType]]) -> Column:
+    """A key made of the whole row, for rows that have none of their own: equal rows share it."""
+    texts = [F.coalesce(as_text(c, k), F.lit("\x1e")) for c, k in parts]
+    return F.md5(F.concat_ws("\x1f", *texts))
+
+
 def present(col: Column, kind: T.DataType) -> Column:
     """Whether a value is neither NULL nor blank text."""
     if isinstance(kind, T.StringType):

@@ -17,6 +17,8 @@ from graphloom.operators.scan import annotate_groups
 
 META = ("_key", "_seq", "_deleted")
 POLICIES = ("source_wins", "last_write_wins", "log_and_skip", "fail")
+#: Policies under which the newest change of a key holds, whatever there was.
+LATEST_POLICIES = ("source_wins", "last_write_wins")
 #: A sequence with a place behind the point, and the step from place to place. Any int fits.
 PLACED_SEQ, PLACE_UNIT = "decimal(38,10)", Decimal("0.0000000001")
 ON_DUPLICATE = ("error", "update", "replace", "ignore")
@@ -48,6 +50,25 @@ def _latest(changes: DataFrame, fields: list[str]) -> DataFrame:
     return last.select("_key", F.col("r.seq").alias("_seq"), F.col("r.gone").alias("_deleted"), *[F.col(f"r.`{c}`").alias(c) for c in fields])
 
 
+def latest(changes: DataFrame) -> DataFrame:
+    """The rows that a batch of changes alone leaves, tombstones included."""
+    sound = changes.where("_key is not null and seq is not null and op in ('INSERT', 'REPLACE', 'DELETE')")
+    return _latest(sound, fields_of(changes))
+
+
+def newest(target: DataFrame, later: DataFrame, order: str) -> DataFrame:
+    """A target with rows of the same kind that came later merged in: of a key the row with the
+    highest sequence holds, of equal sequences the earlier one (`order` numbers them)."""
+    fields = [c for c in later.columns if c not in ("_key", order)]
+    record = F.struct("_seq", (-F.col(order)).alias("__early"), *[F.col(f"`{c}`") for c in fields if c != "_seq"])
+    last = later.groupBy("_key").agg(F.max(record).alias("c")).select(F.col("_key").alias("k"), "c")
+    old = target.select("_key", F.struct(*[F.col(f"`{c}`") for c in target.columns if c != "_key"]).alias("t"))
+    both = old.join(last, F.col("_key") == F.col("k"), "full_outer")
+    newer = F.col("c").isNotNull() & (F.col("t").isNull() | F.col("t._seq").isNull() | (F.col("c._seq") > F.col("t._seq")))
+    pick = lambda c: F.when(newer, F.col(f"c.`{c}`") if c in fields else F.lit(None)).otherwise(F.col(f"t.`{c}`")).alias(c)
+    return both.select(F.coalesce("_key", "k").alias("_key"), *[pick(c) for c in target.columns if c != "_key"])
+
+
 def with_existence(target: DataFrame, changes: DataFrame) -> DataFrame:
     """changes with `existed`: whether the key had a document when the change arrived in order.
 
@@ -118,20 +139,37 @@ def load(target: DataFrame, rows: DataFrame, on_duplicate: str = "replace") -> D
     update overrides it where the new value is not NULL, error raises if a key is there already or
     comes twice. Of rows of one key the largest holds (ignore: the smallest). Rows with a NULL key
     are left out."""
+    state = target.withColumn("_seq", F.lit(None).cast("bigint")).withColumn("_deleted", F.lit(False))
+    return live(load_state(state, rows, on_duplicate))
+
+
+def load_state(state: DataFrame, rows: DataFrame, on_duplicate: str = "replace", sequence: int | None = None) -> DataFrame:
+    """load() into rows with `_seq` and `_deleted`, which it keeps: a change older than a key's last
+    one stays without effect after the load.
+
+    A tombstone counts as no document; a loaded row brings the key back. With a `sequence` (of the
+    log at the time of the snapshot that is loaded) the loaded rows have it, and rows and
+    tombstones of the state that are newer stay as they are."""
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"unknown on_duplicate {on_duplicate!r}; one of {', '.join(ON_DUPLICATE)}")
-    fields = fields_of(target)
+    fields = fields_of(state)
     rows = rows.where("_key is not null")
-    record = F.struct(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in fields])
+    record = F.struct(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in fields])
     grouped = rows.groupBy("_key").agg((F.min if on_duplicate == "ignore" else F.max)(record).alias("n"), F.count(F.lit(1)).alias("times"))
-    old = target.select("_key", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("o"))
+    gone = F.coalesce("_deleted", F.lit(False))
+    old = state.select("_key", F.when(~gone, F.struct(*[F.col(f"`{c}`") for c in fields])).alias("o"), "_seq", gone.alias("gone"))
     both = old.join(grouped, "_key", "full_outer")
     if on_duplicate == "error":
         clash = both.where("n is not null and (o is not null or times > 1)").head(1)
         if clash:
             raise ConflictError(f"duplicate key {clash[0]['_key']!r}")
-    pick = {
-        "ignore": lambda c: F.when(F.col("o").isNotNull(), F.col(f"o.`{c}`")).otherwise(F.col(f"n.`{c}`")),
-        "update": lambda c: F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`")),
-    }.get(on_duplicate, lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")))
-    return both.select("_key", *[pick(c).alias(c) for c in fields])
+    taken = F.col("n").isNotNull()
+    if sequence is not None:
+        taken = taken & ~F.coalesce(F.col("_seq") > sequence, F.lit(False))
+    if on_duplicate == "ignore":
+        taken = taken & F.col("o").isNull()
+    new = (lambda c: F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`"))) if on_duplicate == "update" else (lambda c: F.col(f"n.`{c}`"))
+    seq = F.col("_seq") if sequence is None else F.when(taken, F.lit(sequence).cast(state.schema["_seq"].dataType)).otherwise(F.col("_seq"))
+    return both.select(
+        "_key", *[F.when(taken, new(c)).otherwise(F.col(f"o.`{c}`")).alias(c) for c in fields], seq.alias("_seq"), F.when(taken, False).otherwise(F.coalesce("gone", F.lit(False))).alias("_deleted")
+    )

@@ -35,6 +35,10 @@ def _parts(df: DataFrame, names: Iterable[str]) -> list[tuple[Column, T.DataType
     return [(df[f"`{n}`"], df.schema[n].dataType) for n in names]
 
 
+def _content_key(df: DataFrame, table: model.Table) -> Column:
+    return keys.content_key(_parts(df, [n for n in table.names if n in df.columns]))
+
+
 @dataclass
 class VertexPlan:
     """The compiled projection of one collection."""
@@ -86,13 +90,15 @@ def vertices(
     table: model.Table,
     mapping: model.CollectionMapping | None = None,
     config: model.MappingConfig | None = None,
+    content_keys: bool = False,
 ) -> DataFrame:
     """The vertex set of a table: `_key` (if it has a primary key) and the mapped properties.
 
     Without a mapping the columns pass as they are. A value that does not cast to its logical type
     is NULL here and a row of `rejects`. A row whose primary key is NULL in part has no vertex (it
     is in `rejects` too). Columns that the table does not declare are left out; rows are kept as
-    often as they come.
+    often as they come. With content_keys a table without a primary key gets a key from the whole
+    row, which equal rows share.
     """
     config = config or model.MappingConfig()
     if mapping is None:
@@ -100,7 +106,7 @@ def vertices(
     else:
         columns = _compile(df, table, mapping, config).columns
     if not table.primary_key:
-        return df.select(*columns)
+        return df.select(_content_key(df, table).alias("_key"), *columns) if content_keys else df.select(*columns)
     return df.select(keys.key(_parts(df, table.primary_key), config.key_separator).alias("_key"), *columns).where("_key is not null")
 
 
@@ -128,15 +134,17 @@ def edges(
     table: model.Table,
     config: model.MappingConfig | None = None,
     target: tuple[DataFrame, model.Table] | None = None,
+    content_keys: bool = False,
 ) -> DataFrame:
     """The edge set of a foreign key: from each row's vertex to the one that its key names.
 
     A foreign key that is NULL or blank in part has no edge; its text is trimmed. The target is
     not looked up, unless the foreign key names other columns than the target's primary key: then
-    `target` (rows, table) is needed, and a reference that it does not have gives no edge.
+    `target` (rows, table) is needed, and a reference that it does not have gives no edge. With
+    content_keys the rows of a table without a primary key start from the key of the whole row.
     """
     config = config or model.MappingConfig()
-    if not table.primary_key:
+    if not table.primary_key and not content_keys:
         raise ValueError(f"table {table.name!r} has no primary key to build edges from")
     unknown = [c for c in edge.from_fields if c not in df.columns]
     if unknown or not edge.from_fields:
@@ -147,7 +155,7 @@ def edges(
     rows = df
     for test in refers:
         rows = rows.where(test)
-    from_key = keys.key(_parts(df, table.primary_key), config.key_separator)
+    from_key = keys.key(_parts(df, table.primary_key), config.key_separator) if table.primary_key else _content_key(df, table)
     to_key = keys.key(_parts(df, edge.from_fields), config.key_separator, trim=True)
     direct = target is None or not edge.to_fields or list(edge.to_fields) == list(target[1].primary_key)
     if direct:
@@ -240,7 +248,8 @@ def build_graph(
     """All vertex and edge sets of a mapping as lazy plans.
 
     Tables are chosen by include_tables and exclude_tables, edges with the table they start from.
-    Join tables are vertices with two edge sets, or with join_tables_as_edges one edge set.
+    Join tables are vertices with two edge sets, or with join_tables_as_edges one edge set. Rows of
+    a table without a primary key from which edges start have the key of the whole row.
     """
     wanted = set(config.targets()) if include_tables is None else set(include_tables)
     wanted -= set(exclude_tables)
@@ -252,6 +261,7 @@ def build_graph(
         return frames[table]
 
     vertex_sets, edge_sets, joined = {}, {}, set()
+    starts = {e.from_collection for e in config.edges}
     for mapping in config.collections.values():
         table = schema.tables.get(mapping.source_table)
         if table is None or table.name not in wanted:
@@ -260,14 +270,12 @@ def build_graph(
             joined.add(table.name)
             edge_sets[mapping.target_collection] = join_table_edges(rows(table.name), table, mapping, config)
         else:
-            vertex_sets[mapping.target_collection] = vertices(rows(table.name), table, mapping, config)
+            vertex_sets[mapping.target_collection] = vertices(rows(table.name), table, mapping, config, content_keys=table.name in starts)
     for edge in config.edges:
         table = schema.tables.get(edge.from_collection)
         if table is None or table.name not in wanted or table.name in joined:
             continue
-        if not table.primary_key:
-            continue  # rows without a key of their own cannot be told apart
         other = schema.tables.get(edge.to_collection)
         target = (read(other.name), other) if other is not None and other.primary_key and list(edge.to_fields) != list(other.primary_key) else None
-        edge_sets[edge.edge_collection] = edges(rows(table.name), edge, table, config, target)
+        edge_sets[edge.edge_collection] = edges(rows(table.name), edge, table, config, target, content_keys=True)
     return Graph(vertex_sets, edge_sets, config.graph_definition())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import model
-from graphloom.operators import merge, project
+from graphloom.operators import project
 from graphloom.plans.mapping import Action, topological_order
 from graphloom.sources.store import GraphStore
 
@@ -42,13 +42,15 @@ def load_graph(
     since_value: object = None,
     since_column: str | None = None,
     join_tables_as_edges: bool = False,
+    sequence: int | None = None,
     dead_letters: Callable[[DataFrame], None] | None = None,
     on_event: Callable[[str, str], None] | None = None,
 ) -> LoadResult:
     """Project all tables of a mapping and load them: vertices in the order of references, then
     edges. An error ends its collection only. A dry run loads nothing and keeps three rows of
     each collection. Rows without a primary key cannot be merged; their collections are written
-    anew."""
+    anew. Sequences and tombstones of earlier changes stay; `sequence` is the position of the log
+    at which the tables were read, if it is known."""
     began, out = time.monotonic(), LoadResult()
     order, out.cycles = topological_order(schema)
     graph = project.build_graph(
@@ -71,11 +73,10 @@ def load_graph(
                 out.skipped.append(name)
                 tell("skipped")
                 return
-            if there is None or "_key" not in df.columns:
-                rows = merge.load(df.limit(0), df, on_duplicate) if "_key" in df.columns else df.withColumn("_key", F.expr("uuid()"))
+            if "_key" in df.columns:
+                store.load(name, df, on_duplicate, sequence)
             else:
-                rows = merge.load(there, df, on_duplicate)
-            store.replace(name, rows)
+                store.replace(name, df.withColumn("_key", F.expr("uuid()")))
             counts[name] = store.documents(name).count()
             tell("loaded")
         except Exception as error:  # a collection that fails must not end the load
@@ -121,9 +122,9 @@ def execute(
             store.rename(action.detail, action.target)
         elif action.kind == "rename_field":
             old, new = action.detail.split("->")
-            documents = store.documents(action.target)
-            if documents is not None and old in documents.columns:
-                store.replace(action.target, documents.withColumnRenamed(old, new))
+            state = store.state(action.target)
+            if state is not None and old in state.columns:
+                store.replace_state(action.target, state.withColumnRenamed(old, new))
         elif action.kind == "rebuild_graph":
             store.write_graph(graph_name, config.graph_definition())
         else:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -400,12 +400,20 @@ def _changes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Added to keys of orders that are to be found on one side only.
+_ELSEWHERE, _NEW = 1_000_000_000, 2_000_000_000
+
+
+def _shifted(there: Column, by: int) -> Column:
+    return F.when(there, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + by)
+
+
 def _old_target(spark: SparkSession, folder: str) -> DataFrame:
-    """What was there: every fourth order, written at a sequence between its changes."""
-    o = read_table(spark, folder, "orders").where("o_orderkey % 4 = 0")
-    return o.select(
-        F.col("o_orderkey").cast("string").alias("_key"), "o_orderkey", "o_custkey", F.lit("T").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 8 == 0, F.col("o_orderkey") * 10 + 1).alias("_seq"), F.lit(False).alias("_deleted")
-    )
+    """What was there: all orders, three quarters of them under keys that no change names; some were
+    written at a sequence between their changes."""
+    k = F.col("o_orderkey")
+    o = read_table(spark, folder, "orders").select(_shifted(k % 4 == 0, _ELSEWHERE).alias("key"), "o_custkey", F.when(k % 8 == 0, k * 10 + 1).alias("_seq"))
+    return o.select(F.col("key").cast("string").alias("_key"), F.col("key").alias("o_orderkey"), "o_custkey", F.lit("T").alias("o_orderstatus"), "_seq", F.lit(False).alias("_deleted"))
 
 
 def _envelopes(spark: SparkSession, folder: str, payload: bool) -> DataFrame:
@@ -465,16 +473,47 @@ def conflict_counts(spark: SparkSession, folder: str) -> DataFrame:
     return merge.conflict_counts(merge.conflicts(_old_target(spark, folder), _changes(spark, folder), "log_and_skip"))
 
 
+def _load_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders, a sixth of them under their own keys, without customers."""
+    o = read_table(spark, folder, "orders").select(_shifted(F.col("o_orderkey") % 6 == 0, _NEW).alias("key"), "o_orderstatus")
+    return o.select(F.col("key").cast("string").alias("_key"), F.col("key").alias("o_orderkey"), F.lit(None).cast("bigint").alias("o_custkey"), "o_orderstatus")
+
+
 def _loaded(mode: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        target = _old_target(spark, folder).drop("_seq", "_deleted")
-        rows = read_table(spark, folder, "orders").where("o_orderkey % 6 = 0").select(F.col("o_orderkey").cast("string").alias("_key"), "o_orderkey", F.lit(None).cast("bigint").alias("o_custkey"), "o_orderstatus")
-        return merge.load(target, rows, mode)
+        return merge.load(_old_target(spark, folder).drop("_seq", "_deleted"), _load_rows(spark, folder), mode)
 
     query.__name__ = f"load_{mode}"
     return query
 
 
+def load_then_late_change(spark: SparkSession, folder: str) -> DataFrame:
+    """A log, then a bulk load, then changes older than the log: those change nothing, and keys
+    that the log deleted stay so unless the load has them."""
+    changes = _changes(spark, folder)
+    after_log = merge.apply_changes(merge.empty_target(changes), changes)
+    after_load = merge.load_state(after_log, _load_rows(spark, folder))
+    late = changes.where("op = 'INSERT'").withColumn("seq", F.col("o_orderkey") * 10 - 1).withColumn("o_orderstatus", F.lit("late"))
+    return merge.live(merge.apply_changes(after_load, late))
+
+
+def cdc_long_transaction(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as transactions of some thousands of changes with one position each: their place
+    in the transaction decides."""
+    schema, config = _orders_mapping()
+    row = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
+    events = _log(spark, folder).select(
+        "op",
+        F.lit("orders").alias("table_name"),
+        F.when(F.col("op") != "DELETE", row).alias("new_row"),
+        F.when(F.col("op") == "DELETE", row).alias("old_row"),
+        F.floor(F.col("o_orderkey") / 5000).cast("string").alias("lsn"),
+        (F.col("o_orderkey") % 5000 * 4 + F.col("n")).cast("int").alias("ordinal"),
+    )
+    changes = apply.vertex_changes(apply.sequenced(events), schema.tables["orders"], config.collections["orders"], config)
+    return merge.live(merge.apply_changes(merge.empty_target(changes), changes))
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     """The log as flat events; updates carry their old row."""
     row = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
@@ -588,7 +627,7 @@ QUERIES = {
         degree_distribution, two_hop_region_orders, dangling_edges, expr_arith, expr_strings, expr_null_logic, expr_ternary, *[_masked(k) for k in ("hash", "tokenize", "redact", "nullify")],
         orphan_check, orphan_summary, value_overlap, distinct_ratio, fd_strength, delimiter_rate, embedded_lookup_candidates, pk_candidates, fk_candidates, shared_key_candidates, mosaic_levels, gate_excludes,
         cdc_debezium_parse, cdc_flat_parse, cdc_wal2json_parse, cdc_test_decoding_parse, _applied("source_wins", "cdc_apply_source_wins"), _applied("last_write_wins", "cdc_apply_lww"), _applied("log_and_skip", "cdc_apply_log_and_skip"),
-        conflict_counts, *[_loaded(m) for m in ("replace", "update", "ignore")], cdc_deltas, cdc_edge_rewire,
+        conflict_counts, *[_loaded(m) for m in ("replace", "update", "ignore")], load_then_late_change, cdc_long_transaction, cdc_deltas, cdc_edge_rewire,
         temporal_versions, temporal_snapshot_at, temporal_snapshots_at, temporal_overlap, temporal_changed_between, temporal_current, temporal_history, temporal_has_version_edges, temporal_ttl, temporal_proxied_edges,
     )
 }

@@ -19,7 +19,9 @@ WITH log AS (
   UNION ALL SELECT o_orderkey, 2, 'DELETE', o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0
   UNION ALL SELECT o_orderkey, 3, 'INSERT', o_custkey + 2, 'N' FROM orders WHERE o_orderkey % 10 = 0
 ), old AS (
-  SELECT o_orderkey, o_custkey, 'T' AS o_orderstatus, CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey * 10 + 1 END AS s FROM orders WHERE o_orderkey % 4 = 0
+  SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE o_orderkey + 1000000000 END AS o_orderkey, o_custkey, 'T' AS o_orderstatus, CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey * 10 + 1 END AS s FROM orders
+), fresh AS (
+  SELECT CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey ELSE o_orderkey + 2000000000 END AS o_orderkey, NULL::BIGINT AS o_custkey, o_orderstatus FROM orders
 )
 """
 
@@ -44,6 +46,13 @@ _SEEN = """, seen AS (
 )
 """
 
+#: A bulk load of the fresh rows into what was there.
+_JOINED = """
+SELECT coalesce(n.o_orderkey, o.o_orderkey)::VARCHAR AS _key, coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, {custkey} AS o_custkey, {status} AS o_orderstatus
+FROM fresh n FULL JOIN {old} o ON n.o_orderkey = o.o_orderkey
+"""
+_LOADED = _LOG + _JOINED
+
 _PARSED = _LOG + "SELECT op, 'public' AS schema_name, 'orders' AS table_name, {lsn} AS lsn, o_orderkey AS transaction_id, o_orderkey, o_custkey, {status} AS o_orderstatus, op = 'DELETE' AS has_old FROM log"
 
 _VERSIONS = """
@@ -87,6 +96,12 @@ def _keys(table: str, column: str) -> str:
 _EDGES = [("orders", "o_orderkey", "o_custkey", "customer"), ("customer", "c_custkey", "c_nationkey", "nation"), ("nation", "n_nationkey", "n_regionkey", "region"), ("supplier", "s_suppkey", "s_nationkey", "nation"), ("events", "event_id", "user_id", "customer")]
 
 
+#: Rows of lineitem have no key of their own; the whole row is it.
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LINE_KEY = f"md5(concat_ws(chr(31), {', '.join(f'coalesce({c}::VARCHAR, chr(30))' for c in _LINE_COLUMNS)}))"
+_LINE_EDGES = [("lineitem", _LINE_KEY, "l_orderkey", "orders"), ("lineitem", _LINE_KEY, "l_partkey", "part"), ("lineitem", _LINE_KEY, "l_suppkey", "supplier")]
+
+
 def _encoded(column: str) -> str:
     """Percent-encoding of every byte that a key may not hold, byte by byte."""
     kept = "[A-Za-z0-9_:.@()+,=;$!*''-]"
@@ -114,7 +129,7 @@ def sql() -> dict[str, str]:
         "edge_join_table": "SELECT DISTINCT l_partkey || '_' || l_suppkey AS _key, 'part/' || l_partkey AS _from, 'supplier/' || l_suppkey AS _to, 'supplied_by' AS _label FROM lineitem",
         "edge_composite": "SELECT DISTINCT concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey, l_suppkey) AS _key, 'lineitem/' || concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS _from, 'stock/' || l_partkey || '_' || l_suppkey AS _to, 'lineitem_to_stock' AS _label FROM lineitem",
         "edge_nonpk_target": "SELECT o_orderkey || '_Customer%23' || lpad(o_custkey::VARCHAR, 9, '0') AS _key, 'orders/' || o_orderkey AS _from, 'customer/' || c_custkey AS _to, 'orders_to_customer' AS _label FROM orders JOIN customer ON o_custkey = c_custkey",
-        "graph_all_edges": " UNION ALL ".join(f"SELECT '{t}_to_{x}' AS edge_set, count(*) AS edges, min({k} || '_' || {c}) AS least, max({k} || '_' || {c}) AS most FROM {t}" for t, k, c, x in _EDGES),
+        "graph_all_edges": " UNION ALL ".join(f"SELECT '{t}_to_{x}' AS edge_set, count(*) AS edges, min({k} || '_' || {c}) AS least, max({k} || '_' || {c}) AS most FROM {t}" for t, k, c, x in [*_EDGES, *_LINE_EDGES]),
         "since_incremental": "SELECT o_orderkey::VARCHAR AS _key, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'",
         "degree_distribution": "SELECT degree, count(*) AS vertices FROM (SELECT o_custkey, count(*) AS degree FROM orders GROUP BY 1) GROUP BY 1",
         "two_hop_region_orders": "SELECT r_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
@@ -156,9 +171,14 @@ def sql() -> dict[str, str]:
         "cdc_apply_lww": _LOG + _NEWEST.format(log="log", newer=_NEWER),
         "cdc_apply_log_and_skip": _LOG + _SEEN + _NEWEST.format(log="(SELECT o_orderkey, n, op, o_custkey, o_orderstatus FROM judged WHERE NOT ((op = 'INSERT' AND was) OR (op = 'UPDATE' AND NOT was)))", newer=_NEWER),
         "conflict_counts": _LOG + _SEEN + "SELECT CASE op WHEN 'INSERT' THEN 'INSERT_DUPLICATE' ELSE 'REPLACE_MISSING' END AS conflict_type, 'skipped' AS resolution, count(*) AS conflicts FROM judged WHERE (op = 'INSERT' AND was) OR (op = 'UPDATE' AND NOT was) GROUP BY ALL",
-        "load_replace": "SELECT o_orderkey::VARCHAR AS _key, o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 6 <> 0 THEN 'T' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0",
-        "load_update": "SELECT o_orderkey::VARCHAR AS _key, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 6 <> 0 THEN 'T' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0",
-        "load_ignore": "SELECT o_orderkey::VARCHAR AS _key, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 'T' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0",
+        "load_replace": _LOADED.format(old="old", custkey="CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_custkey ELSE o.o_custkey END", status="CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE o.o_orderstatus END"),
+        "load_update": _LOADED.format(old="old", custkey="coalesce(n.o_custkey, o.o_custkey)", status="coalesce(n.o_orderstatus, o.o_orderstatus)"),
+        "load_ignore": _LOADED.format(old="old", custkey="CASE WHEN o.o_orderkey IS NOT NULL THEN o.o_custkey ELSE n.o_custkey END", status="CASE WHEN o.o_orderkey IS NOT NULL THEN o.o_orderstatus ELSE n.o_orderstatus END"),
+        "load_then_late_change": _LOG
+        + ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) AS r FROM log) WHERE r = 1 AND op <> 'DELETE')"
+        + _JOINED.format(old="last", custkey="CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_custkey ELSE o.o_custkey END", status="CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE o.o_orderstatus END"),
+        "cdc_long_transaction": _LOG
+        + "SELECT o_orderkey::VARCHAR AS _key, o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) AS r FROM log) WHERE r = 1 AND op <> 'DELETE'",
         "cdc_deltas": _LOG
         + """, d AS (SELECT *, (o_orderkey * 10 + n) * 1024 AS seq, CASE op WHEN 'UPDATE' THEN 'REPLACE' ELSE op END AS o FROM log)
 SELECT seq, 'orders' AS collection, false AS is_edge, o AS op, o_orderkey::VARCHAR AS _key, CASE WHEN op <> 'DELETE' THEN o_custkey END AS o_custkey, NULL::VARCHAR AS _to FROM d

@@ -130,3 +130,78 @@ def test_versions_of_a_large_transaction(spark):
     found = [(r._version, r.name) for r in temporal.versions_from_log(changes.where("_key = '2'")).orderBy("_version").collect()]
     assert found == [(0, "Y"), (1, "Z"), (2, "A")]
     assert log.agg(F.max("seq")).first()[0] % 1 * 10**10 == 1107
+
+
+def changes(spark, rows):
+    return spark.createDataFrame(rows, "_key string, op string, seq bigint, v string")
+
+
+def test_a_load_keeps_sequences_and_tombstones(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=3)
+    store.merge("a", changes(spark, [("1", "INSERT", 10, "new"), ("2", "INSERT", 10, "x"), ("2", "DELETE", 11, None), ("3", "DELETE", 12, None)]))
+    store.load("a", spark.createDataFrame([("1", "loaded"), ("3", "back"), ("4", "fresh")], "_key string, v string"))
+    live = lambda: {r._key: r.v for r in store.documents("a").collect()}
+    assert live() == {"1": "loaded", "3": "back", "4": "fresh"}
+    store.merge("a", changes(spark, [("1", "INSERT", 3, "older"), ("2", "INSERT", 3, "older"), ("3", "INSERT", 3, "older"), ("4", "INSERT", 1, "first")]))
+    assert live() == {"1": "loaded", "3": "back", "4": "first"}
+    store.load("a", spark.createDataFrame([("1", "at 5"), ("2", "at 5"), ("5", "at 5")], "_key string, v string"), sequence=5)
+    assert live() == {"1": "loaded", "3": "back", "4": "first", "5": "at 5"}
+    store.merge("a", changes(spark, [("5", "DELETE", 4, None), ("5", "REPLACE", 6, "later")]))
+    assert live()["5"] == "later"
+
+
+def test_rename_moves_the_data(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=2)
+    store.merge("a", changes(spark, [("1", "INSERT", 10, "x"), ("2", "DELETE", 10, None)]))
+    store.rename("a", "b")
+    store.replace("a", spark.createDataFrame([("9", "other")], "_key string, v string"))
+    with pytest.raises(ValueError):
+        store.rename("a", "b")
+    store.drop("a")
+    store.merge("b", changes(spark, [("1", "INSERT", 3, "older"), ("2", "INSERT", 3, "older")]))
+    assert [(r._key, r.v) for r in store.documents("b").collect()] == [("1", "x")] and store.documents("a") is None
+
+
+def test_a_lost_commit_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=2)
+    store.merge("a", changes(spark, [("1", "INSERT", 1, "x")]))
+
+    def lost(name, data):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_write", lost)
+        with pytest.raises(OSError):
+            store.merge("a", changes(spark, [("1", "REPLACE", 2, "y")]))
+    (tmp_path / "graph" / "a" / "manifest.0123abc-new").write_text("{")
+    assert [(r._key, r.v) for r in store.documents("a").collect()] == [("1", "x")]
+    store.merge("a", changes(spark, [("1", "REPLACE", 2, "y")]))
+    assert [(r._key, r.v) for r in store.documents("a").collect()] == [("1", "y")]
+    assert store.vacuum("a") == 1 and store.documents("a").count() == 1
+
+
+def test_deltas_are_merged_and_compacted(spark, tmp_path, monkeypatch):
+    from graphloom.sources import store as module
+
+    monkeypatch.setattr(module, "MAX_DELTAS", 2)
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=2)
+    wanted, seen = {}, []
+    for i in range(5):
+        store.merge("a", changes(spark, [(str(k), "DELETE" if (k + i) % 5 == 0 else "REPLACE", 10 * i + k % 3, f"{i}-{k}") for k in range(i, 20)]))
+        for k in range(i, 20):
+            wanted[str(k)] = None if (k + i) % 5 == 0 else f"{i}-{k}"
+        seen.append(len(store.manifest("a")["deltas"]))
+        assert {r._key: r.v for r in store.documents("a").collect()} == {k: v for k, v in wanted.items() if v}
+    assert seen == [0, 1, 2, 0, 1]
+    store.merge("a", changes(spark, [("0", "INSERT", 99, "skipped"), ("77", "INSERT", 99, "in")]), "log_and_skip")
+    assert store.manifest("a")["deltas"] == [] and store.documents("a").where("_key = '77'").count() == 1
+    store.merge("a", spark.createDataFrame([("77", "REPLACE", 100, 5)], "_key string, op string, seq bigint, w int"))
+    assert [(r.v, r.w) for r in store.documents("a").where("_key = '77'").collect()] == [("in", 5)]
+
+
+def test_applied_batches_are_all_remembered(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    for i in [*range(30), 40, "x"]:
+        store.note_batch(i)
+    assert all(store.has_batch(i) for i in [*range(30), 40, "x"]) and not any(store.has_batch(i) for i in (30, 41, "y"))
+    assert store._batches() == {"before": 30, "done": ["40", "x"]}
