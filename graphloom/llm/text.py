@@ -6,8 +6,13 @@ import html
 import re
 import unicodedata
 
-TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|\[/?[A-Za-z]{1,12}(?:=[^\[\]\s]{0,100})?\]")
+TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
+# A name in brackets is markup if it has a value, closes, is closed somewhere, or stands alone by rule.
+_BRACKET = re.compile(r"\[(/?)([A-Za-z]+\d?)(=[^\[\]\s]*)?\]")
+_ALONE = frozenset({"br", "hr"})
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
+# Escapes of an escape's own sign, however often: one is left, so that few rounds undo them all.
+_AGAIN = ((re.compile(r"&(?:amp;)+"), "&"), (re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})"), "%"), (re.compile(r"=(?:3D)+(?=[0-9A-F]{2})"), "="), (re.compile(r"\\+(?=[\"'/nrtbfux])"), r"\\"))
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,31});")
 _UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
 _BYTE = re.compile(r"(?:\\x[0-9a-fA-F]{2})+")
@@ -40,9 +45,13 @@ def _one_byte(run: str) -> str:
 
 
 def unescape(text: str) -> str:
-    """Undo entities, backslash, percent and quoted-printable escapes and misread UTF-8."""
-    for _ in range(3):
+    """Undo entities, backslash, percent and quoted-printable escapes and misread UTF-8, until
+    nothing is left to undo. Every step shortens the text."""
+    while True:
         before = text
+        for (sign, one), mark in zip(_AGAIN, "&%=\\"):
+            if mark in text:
+                text = sign.sub(one, text)
         if "&" in text and _ENTITY.search(text):
             text = html.unescape(text)
         if "\\" in text:
@@ -56,12 +65,24 @@ def unescape(text: str) -> str:
         if _MOJIBAKE.search(text):
             text = _MOJIBAKE.sub(lambda m: _one_byte(m[0]), text)
         if text == before:
-            break
-    return text
+            return text
+
+
+_NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+# What is neither letter, digit nor white space.
+_SIGNS = re.compile(r"[^\w\s]+|_+")
+
 
+class _Dropped(dict):
+    """Code points of marks and invisible characters to None, all others to themselves."""
 
-def _letters(token: str) -> str:
-    return "".join(c for c in token if c.isalnum())
+    def __missing__(self, code: int) -> int | None:
+        char = chr(code)
+        self[code] = None if unicodedata.category(char).startswith(("M", "Cf")) and not char.isspace() else code
+        return self[code]
+
+
+_DROPPED = _Dropped()
 
 
 def fold(text: str) -> str:
@@ -70,7 +91,20 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
-    return "".join(c for c in text if not unicodedata.category(c).startswith(("M", "Cf")) or c.isspace())
+    return _NON_ASCII.sub(lambda m: m[0].translate(_DROPPED), text)
+
+
+def without_markup(text: str) -> str:
+    """text with blanks in place of tags; of a link its words stay."""
+    if "](" in text:
+        text = _LINK.sub(r" \1 ", text)
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    if "[" in text:
+        closed = {m[2].lower() for m in _BRACKET.finditer(text) if m[1]}
+        if closed or "=" in text or "br]" in text.lower() or "hr]" in text.lower():
+            text = _BRACKET.sub(lambda m: " " if m[1] or m[3] or m[2].lower() in closed or m[2].lower() in _ALONE else m[0], text)
+    return text
 
 
 def words(text: str | None, vocabulary: frozenset[str] | set[str] = frozenset()) -> list[str]:
@@ -79,9 +113,12 @@ def words(text: str | None, vocabulary: frozenset[str] | set[str] = frozenset())
     is in the vocabulary and the parts are not. NULL and blank texts have none."""
     if not text:
         return []
+    plain = _SIGNS.sub("", fold(without_markup(unescape(text))))
+    if not vocabulary:
+        return plain.split()
     out: list[str] = []
-    for line in fold(TAG.sub(" ", _LINK.sub(r" \1 ", unescape(text)))).split("\n"):
-        tokens = [t for t in map(_letters, line.split()) if t]
+    for line in plain.split("\n"):
+        tokens = line.split()
         if tokens and out and vocabulary and joins(out[-1], tokens[0], vocabulary):
             tokens[0] = out.pop() + tokens[0]
         out += tokens

@@ -128,7 +128,9 @@ def test_shuffled_seeds_give_the_same(spark, material, monkeypatch):
     _, items, prose = material
     docs = [(1, items[1]), (2, prose[0]), (3, edited(None, items[2], 10, "add"))]
     want = run(spark, docs, items.items())
-    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(leakage, "TEST_CHARS", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 0)
+    assert run(spark, docs, items.items()) == want == {(1, 1), (3, 2)}
     monkeypatch.setattr(leakage, "VOCABULARY_WORDS", 0)
     assert run(spark, docs, items.items()) == want == {(1, 1), (3, 2)}
 
@@ -226,6 +228,8 @@ def test_many_test_words_change_nothing(spark, material, monkeypatch):
     docs += [(90, "\n".join(w[i : i + 2] for w in items[1].split() for i in range(0, len(w), 2))), (91, "".join(items[2].split()[:2]) + items[2]), (91, None), (92, prose[0]), (93, "")]
     want = run(spark, docs, items.items())
     assert {(n, n % 6 + 1) for n in range(len(DISGUISES))} <= want
+    monkeypatch.setattr(leakage, "TEST_CHARS", 0)
+    assert run(spark, docs, items.items()) == want
     monkeypatch.setattr(leakage, "VOCABULARY_WORDS", 0)
     assert run(spark, docs, items.items()) == want
     assert run(spark, docs, []) == run(spark, [], items.items()) == set()
@@ -240,3 +244,37 @@ def test_lookups_are_all_that_is_looked_up():
         own = leakage.lookups(text, max(map(len, vocabulary))) & vocabulary
         assert words(text, own) == words(text, vocabulary)
         assert leakage.repaired(words(text, own), own) == leakage.repaired(words(text, vocabulary), vocabulary)
+
+
+def test_markup_and_escapes_of_any_size(spark, material):
+    _, items, prose = material
+    part = items[1].split()[3:23]
+    long_tag = f'<a href="http://x.invalid/{"q" * 10_000}" title="{"none of the words " * 500}">'
+    fivefold = part[:]
+    fivefold[5] += "&amp;amp;amp;amp;nbsp;"
+    docs = [
+        (1, prose[0] + " " + long_tag.join(w + " " for w in part)),
+        (2, " ".join(f"[url={'x' * 5000}]{w}[/url]" for w in part)),
+        (3, " ".join(fivefold)),
+        (4, "[" + "] [".join(part) + "]"),
+        (5, " ".join(f"[averylongtagname]{w}[/averylongtagname]" for w in part)),
+        (6, "\\\\\\\\\\\\\"".join(part[:1]) + " " + " ".join(part) + "\\\\\\\\\\\\\""),
+    ]
+    assert run(spark, docs, items.items()) == {(i, 1) for i, _ in docs}
+    deep = "caf" + "&" + "amp;" * 100_000 + "eacute; 100" + "%" + "25" * 50_000 + "C3" + "%" + "25" * 50_000 + "A9"
+    assert unescape(deep) == "café 100é"
+
+
+def test_texts_searched_together_are_kept_apart(monkeypatch):
+    pick = random.Random(13)
+    items = [(i, passage(pick)) for i in range(5)]
+    index = leakage.TestIndex(items, leakage.MASKS)
+    texts = []
+    for _ in range(60):
+        words_ = pick.choice(items)[1].split()
+        at = pick.randrange(0, 45)
+        texts += [" ".join(words_[at : at + 9]), " ".join(words_[at + 9 : at + 18]), " ".join(words_[at : at + 18]), "", "one"]
+    alone = [next(index.leaks([t])) for t in texts]
+    assert list(index.leaks(texts)) == alone and any(alone)
+    monkeypatch.setattr(leakage, "PART_WORDS", 50)
+    assert list(index.leaks(texts)) == alone
