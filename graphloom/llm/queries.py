@@ -30,13 +30,36 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.reached_shares(*_mixture(spark, folder))
 
 
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.text_counts(read_table(spark, folder, "documents"))
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return structure.text_statistics(read_table(spark, folder, "documents"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_statistics(spark, folder).where("form <> 'prose'").select("doc_id", "form").distinct()
+    return structure.text_forms(read_table(spark, folder, "documents")).where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_uses, p7_shares, p8_found, p8_counts, p8_statistics)}
+
+
+def _counts_sql() -> str:
+    """DuckDB's lower() makes the dotted capital I a plain i; by Unicode a combining dot stays."""
+    common = ", ".join("'" + w.replace("'", "''") + "'" for w in structure.COMMON_WORDS)
+    ends = structure.LINE_ENDS
+    return rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{structure.WORD}') AS w,
+         list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{structure.LINE_BREAK}'), lambda l: regexp_replace(l, '[{structure.SPACE}]+$', '')), lambda l: l <> '') AS l
+  FROM documents
+)
+SELECT doc_id, len(w) AS words, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0.0 END AS mean_word_length,
+  CASE WHEN x <> '' THEN length(regexp_replace(x, '[\p{{L}}\p{{N}}{structure.SPACE}]', '', 'g')) / length(x) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda y: contains('{ends}', y[-1:]))) / len(l) ELSE 0.0 END AS punctuated_lines,
+  CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda y: lower(replace(y, 'İ', 'i̇')) IN ({common}))) / len(w) ELSE 0.0 END AS common_words
+FROM t"""
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_uses, p7_shares, p8_found, p8_statistics)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p8_counts": _counts_sql()}
