@@ -18,11 +18,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.runtime import parallelism
-from graphloom.sources.parquet_stats import dictionary_values, footer_stats, open_file
+from graphloom.plans.runtime import cut, parallelism
+from graphloom.sources.parquet_stats import column_bytes, dictionary_values, footer_stats, open_file
 
 #: The limits of the findings.
 MIN_ROWS, PATTERN_SHARE, NULL_RISE, DISTINCT_FACTOR, SHIFT = 30, 0.10, 0.153, 2, 0.452
+#: Compressed bytes of the looked-at columns that one task reads at a time, at least a row group.
+SPAN_BYTES = 8 << 20
 
 
 def well_formed(value: str) -> bool:
@@ -42,58 +44,69 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_group) of every row group of a Parquet file or folder."""
+def spans(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(path, groups) of a Parquet file or folder: runs of row groups of a file whose named columns
+    have about SPAN_BYTES in all, so that a footer is read once for each run and not for each row
+    group. They are spread over the tasks by number."""
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name in batch["path"]:
                 with open_file(name) as source:
-                    n = pq.ParquetFile(source).metadata.num_row_groups
-                yield pd.DataFrame({"path": name, "row_group": np.arange(n, dtype=np.int32)})
+                    meta = pq.ParquetFile(source).metadata
+                sizes = column_bytes(meta, columns)
+                run = np.cumsum(sizes) // SPAN_BYTES if len(sizes) else np.array([])
+                runs = [np.flatnonzero(run == r).tolist() for r in np.unique(run)]
+                yield pd.DataFrame({"path": name, "groups": pd.Series(runs, dtype=object)})
 
-    return _files(spark, path).mapInPandas(groups, "path string, row_group int")
+    return _files(spark, path).mapInPandas(groups, "path string, groups array<int>").repartition(parallelism(spark), "path", F.col("groups")[0])
 
 
-def _spread(spark: SparkSession, path: str) -> DataFrame:
-    return chunks(spark, path).repartition(parallelism(spark), "path", "row_group")
-
-
-def value_counts(spark: SparkSession, path: str, column: str, feed: str = "feed", load: str = "load_no") -> DataFrame:
-    """(feed, load_no, value, n): rows per load and value, NULL values included.
+def _chunk_counts(spark: SparkSession, path: str, column: str, feed: str = "feed", load: str = "load_no") -> DataFrame:
+    """(feed, load_no, value, n) of each chunk: its rows per load and value, NULL values included.
 
     A chunk of one load whose column is NULL throughout, or has one value and no NULL, is counted
     from its footer; of the others feed, load and column are read, the column as dictionary
     indexes, so that values are handled once per chunk.
     """
 
+    def footer_counts(stats: dict) -> pd.DataFrame | None:
+        one = [s.low if s.low is not None and s.low == s.high and s.nulls == 0 else None for s in (stats[feed], stats[load])]
+        own = stats[column]
+        whole = own.nulls == own.rows or (own.nulls == 0 and own.low is not None and own.low == own.high)
+        if None in one or own.nulls is None or not whole:
+            return None
+        value = None if own.nulls == own.rows else own.low
+        return pd.DataFrame({"feed": [one[0]], "load_no": [one[1]], "value": [value.decode() if isinstance(value, bytes) else value], "n": [own.rows]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, group in zip(batch["path"], batch["row_group"]):
+            for name, groups in zip(batch["path"], batch["groups"]):
                 with open_file(name) as source:
                     file = pq.ParquetFile(source, read_dictionary=[column])
-                    stats = {s.column: s for s in footer_stats(file.metadata, [column, feed, load]) if s.row_group == group}
-                    one = [s.low if s.low is not None and s.low == s.high and s.nulls == 0 else None for s in (stats[feed], stats[load])]
-                    own = stats[column]
-                    if None not in one and own.nulls is not None and (own.nulls == own.rows or (own.nulls == 0 and own.low is not None and own.low == own.high)):
-                        value = None if own.nulls == own.rows else own.low
-                        value = value.decode() if isinstance(value, bytes) else value
-                        yield pd.DataFrame({"feed": [one[0]], "load_no": [one[1]], "value": [value], "n": [own.rows]})
-                        continue
-                    table = file.read_row_group(int(group), columns=[feed, load, column]).combine_chunks()
-                coded = table.column(column)
-                coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-                if not pa.types.is_dictionary(coded.type):
-                    coded = pc.dictionary_encode(coded)
-                index = pc.fill_null(coded.indices, -1)
-                frame = pa.table({"feed": table.column(feed), "load_no": table.column(load), "code": index})
-                summed = frame.group_by(["feed", "load_no", "code"]).aggregate([([], "count_all")]).to_pandas()
-                values = np.array([*coded.dictionary.to_pylist(), None], dtype=object)
-                yield pd.DataFrame(
-                    {"feed": summed["feed"], "load_no": summed["load_no"], "value": values[summed["code"].to_numpy()], "n": summed["count_all"]}
-                )
-
-    return _spread(spark, path).mapInPandas(count, "feed bigint, load_no bigint, value string, n bigint").groupBy("feed", "load_no", "value").agg(F.sum("n").alias("n"))
+                    for group in groups:
+                        stats = {s.column: s for s in footer_stats(file.metadata, [column, feed, load], [int(group)])}
+                        known = footer_counts(stats)
+                        if known is not None:
+                            yield known
+                            continue
+                        table = file.read_row_group(int(group), columns=[feed, load, column]).combine_chunks()
+                        coded = table.column(column)
+                        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+                        if not pa.types.is_dictionary(coded.type):
+                            coded = pc.dictionary_encode(coded)
+                        index = pc.fill_null(coded.indices, -1)
+                        frame = pa.table({"feed": table.column(feed), "load_no": table.column(load), "code": index})
+                        summed = frame.group_by(["feed", "load_no", "code"]).aggregate([([], "count_all")]).to_pandas()
+                        values = np.array([*coded.dictionary.to_pylist(), None], dtype=object)
+                        yield pd.DataFrame({"feed": summed["feed"], "load_no": summed["load_no"], "value": values[summed["code"].to_numpy()], "n": summed["count_all"]})
+
+    return spans(spark, path, [column, feed, load]).mapInPandas(count, "feed bigint, load_no bigint, value string, n bigint")
+
+
+def value_counts(spark: SparkSession, path: str, column: str, feed: str = "feed", load: str = "load_no") -> DataFrame:
+    """(feed, load_no, value, n): rows per load and value, NULL values included."""
+    return _chunk_counts(spark, path, column, feed, load).groupBy("feed", "load_no", "value").agg(F.sum("n").alias("n"))
 
 
 def load_profile(counts: DataFrame) -> DataFrame:
@@ -110,33 +123,36 @@ def load_profile(counts: DataFrame) -> DataFrame:
     return counts.withColumn("blank", blank("value")).withColumn("ok", formed("value"))
 
 
-def load_findings(counts: DataFrame) -> DataFrame:
-    """(feed, load_no, finding) by the limits above.
+def load_findings(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(feed, load_no, finding) by the limits above, for each value of `keys`.
 
     Loads of under MIN_ROWS rows are not judged, nor compared with; `nulls`, `distinct` and
     `shift` need the load before (load_no - 1 of the feed) and values that are not blank in both.
     NULL feeds or load numbers belong to no load.
     """
-    judged = load_profile(counts.where("feed is not null and load_no is not null"))
-    loads = judged.groupBy("feed", "load_no").agg(
+    # Judged once per load and value, and kept: the counts of loads and the shares of values both use it.
+    judged = cut(load_profile(counts.where("feed is not null and load_no is not null")))
+    of_feed = [*keys, "feed"]
+    of_load = [*of_feed, "load_no"]
+    loads = judged.groupBy(*of_load).agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blanks"),
         F.sum(F.when(~F.col("blank") & ~F.col("ok"), F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(~F.col("blank"), 1).otherwise(0)).alias("distinct_values"),
     ).where(F.col("rows") >= MIN_ROWS)
-    share = judged.where("not blank").join(loads.select("feed", "load_no", "rows", "blanks"), ["feed", "load_no"]).select(
-        "feed", "load_no", "value", (F.col("n") / (F.col("rows") - F.col("blanks"))).alias("p")
+    share = judged.where("not blank").join(loads.select(*of_load, "rows", "blanks"), of_load).select(
+        *of_load, "value", (F.col("n") / (F.col("rows") - F.col("blanks"))).alias("p")
     )
     # A load's shares count for itself and, with the other sign, for the load after it.
     moved = (
-        share.select("feed", F.explode(F.array(F.struct("load_no", F.col("p").alias("d")), F.struct((F.col("load_no") + 1).alias("load_no"), (-F.col("p")).alias("d")))).alias("s"), "value")
-        .groupBy("feed", "s.load_no", "value")
+        share.select(*of_feed, F.explode(F.array(F.struct("load_no", F.col("p").alias("d")), F.struct((F.col("load_no") + 1).alias("load_no"), (-F.col("p")).alias("d")))).alias("s"), "value")
+        .groupBy(*of_feed, "s.load_no", "value")
         .agg(F.sum("s.d").alias("d"))
-        .groupBy("feed", "load_no")
+        .groupBy(*of_load)
         .agg((F.sum(F.abs("d")) / 2).alias("shift"))
     )
-    before = loads.select("feed", (F.col("load_no") + 1).alias("load_no"), F.col("rows").alias("rows0"), F.col("blanks").alias("blanks0"), F.col("distinct_values").alias("distinct0"))
-    both = loads.join(before, ["feed", "load_no"], "left").join(moved, ["feed", "load_no"], "left")
+    before = loads.select(*of_feed, (F.col("load_no") + 1).alias("load_no"), F.col("rows").alias("rows0"), F.col("blanks").alias("blanks0"), F.col("distinct_values").alias("distinct0"))
+    both = loads.join(before, of_load, "left").join(moved, of_load, "left")
     filled = F.col("rows") - F.col("blanks")
     compared = F.coalesce((filled > 0) & (F.col("rows0") - F.col("blanks0") > 0), F.lit(False))
     tests = {
@@ -146,16 +162,15 @@ def load_findings(counts: DataFrame) -> DataFrame:
         "shift": compared & (F.col("shift") > SHIFT),
     }
     findings = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
-    return both.select("feed", "load_no", F.explode(findings).alias("finding"))
+    return both.select(*of_load, F.explode(findings).alias("finding"))
 
 
 def table_findings(spark: SparkSession, paths: dict[tuple[str, str], str]) -> DataFrame:
     """(table_name, column_name, feed, load_no, finding) for (table, column) -> Parquet path."""
-    parts = [
-        load_findings(value_counts(spark, path, column)).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "feed", "load_no", "finding")
-        for (table, column), path in paths.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    keys = ("table_name", "column_name")
+    parts = [_chunk_counts(spark, path, column).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "*") for (table, column), path in paths.items()]
+    counts = reduce(DataFrame.unionByName, parts).groupBy(*keys, "feed", "load_no", "value").agg(F.sum("n").alias("n"))
+    return load_findings(counts, keys).select(*keys, "feed", "load_no", "finding")
 
 
 def profile(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -164,23 +179,23 @@ def profile(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFram
 
     `columns` maps each column to its rule for malformed values: `name` (well_formed), `text`
     (non-blank) or `any`. Values are compared as text for distinct counts; low and high are the
-    text of the typed extrema. Distinct counts are exact: dictionaries give the candidates of a
-    chunk, other chunks their scanned values, and the candidates of all chunks are combined by a
+    text of the typed extrema. Distinct counts are exact where writers enter into a dictionary only
+    values that they meet: dictionaries give the candidates of a chunk, other chunks their scanned values, and the candidates of all chunks are combined by a
     shuffle on the value. A column that a file lacks is skipped there; no rows give no row.
     """
     names = list(columns)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, group in zip(batch["path"], batch["row_group"]):
+            for name, groups in zip(batch["path"], batch["groups"]):
                 with open_file(name) as source:
                     file = pq.ParquetFile(source)
-                    for s in (s for s in footer_stats(file.metadata, names) if s.row_group == group):
-                        known = dictionary_values(source, file.metadata, int(group), s.column)
+                    for s in footer_stats(file.metadata, names, [int(g) for g in groups]):
+                        known = dictionary_values(source, file.metadata, s.row_group, s.column)
                         enough = s.nulls is not None and (s.nulls == s.rows or s.low is not None)
                         nulls, low, high, scanned = s.nulls, s.low, s.high, not (enough and known is not None)
                         if scanned:
-                            data = file.read_row_group(int(group), columns=[s.column]).column(0)
+                            data = file.read_row_group(s.row_group, columns=[s.column]).column(0)
                             nulls = data.null_count
                             ends = pc.min_max(data)
                             low, high = ends["min"].as_py(), ends["max"].as_py()
@@ -200,8 +215,11 @@ def profile(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFram
                             }
                         )
 
-    found = _spread(spark, path).mapInPandas(
-        look, "column_name string, kind string, value string, rows bigint, nulls bigint, low string, high string, numeric boolean, scanned int"
+    # Kept, so that a chunk is looked at once for its sizes and its values.
+    found = cut(
+        spans(spark, path, names).mapInPandas(
+            look, "column_name string, kind string, value string, rows bigint, nulls bigint, low string, high string, numeric boolean, scanned int"
+        )
     )
 
     @F.pandas_udf("boolean")

@@ -41,11 +41,17 @@ class ChunkStats:
     high: Any
 
 
-def footer_stats(meta: pq.FileMetaData, columns: list[str]) -> list[ChunkStats]:
-    """ChunkStats of the named columns in every row group of a file."""
+def column_bytes(meta: pq.FileMetaData, columns: list[str]) -> list[int]:
+    """Compressed bytes of the named columns in each row group of a file."""
+    at = [i for i in range(meta.num_columns) if meta.schema.column(i).path in columns]
+    return [sum(meta.row_group(g).column(i).total_compressed_size for i in at) for g in range(meta.num_row_groups)]
+
+
+def footer_stats(meta: pq.FileMetaData, columns: list[str], groups: list[int] | None = None) -> list[ChunkStats]:
+    """ChunkStats of the named columns in the named row groups of a file, else in all."""
     at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
     out = []
-    for group in range(meta.num_row_groups):
+    for group in range(meta.num_row_groups) if groups is None else groups:
         rows = meta.row_group(group)
         for column in columns:
             if column not in at:
