@@ -7,8 +7,8 @@ map-side combine), and only the keys at fault meet the referring rows again.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,24 @@ from graphloom.plans.runtime import cut
 #: Copies of a key that cannot be broadcast: a hot key's referring rows spread over so many tasks.
 SALTS = 16
 #: Faulty keys are broadcast while their counted rows, at KEY_BYTES each, stay under this size.
-BROADCAST_BYTES, KEY_BYTES = 16 << 20, 64
+BROADCAST_BYTES, KEY_BYTES = 16 << 20, 160
+#: How a reference that is NULL in part is matched.
+MATCHES = ("simple", "full", "partial")
+
+
+@dataclass(frozen=True)
+class Reference:
+    """Columns that refer to the `keys` of `targets` (with `loaded_at`). `deletions` has
+    `deleted_keys` in the same order and `deleted_at`. match: `simple` ignores a reference with any
+    NULL; `full` reports one that is NULL in part as `partial`; `partial` matches it on its
+    non-null columns. A reference that is NULL throughout refers to nothing."""
+
+    columns: tuple[str, ...]
+    targets: DataFrame
+    keys: tuple[str, ...]
+    deletions: DataFrame | None = None
+    deleted_keys: tuple[str, ...] = ("row_id",)
+    match: str = "simple"
 
 
 def _mask(columns: list[str]) -> Column:
@@ -37,71 +54,64 @@ def faulty_keys(keys: DataFrame, columns: list[str], targets: DataFrame, deletio
     `targets` has the same key columns and `loaded_at`; `deletions` the key columns and
     `deleted_at`. Kinds: `deleted` (a deletion names the key and no row of it is loaded after the
     last one), `missing`, `late` (a row referred before `appeared`, the first load of the key) and
-    `partial` (see below). match: `simple` ignores a key with any NULL; `full` reports a key that
-    is NULL in part as `partial`; `partial` matches it on its non-null columns. A key that is NULL
-    throughout refers to nothing.
+    `partial` (see Reference). Each null mask is anti-joined on its own non-null columns.
     """
-    if match not in ("simple", "full", "partial"):
+    if match not in MATCHES:
         raise ValueError(f"unknown match semantics: {match}")
     whole = (1 << len(columns)) - 1
+    masks = [whole] if match == "simple" else range(1, whole + 1)
+    if match != "simple":
+        keys = cut(keys)  # each mask reads what was grouped once
+    nothing = F.lit(None).cast("timestamp_ntz")
     found = []
-    for bits in product((0, 1), repeat=len(columns)):
-        mask = sum(b << i for i, b in enumerate(bits))
-        if mask == 0 or (mask != whole and match == "simple"):
-            continue
+    for mask in masks:
         of_mask = keys.where(F.col("mask") == mask)
         if mask != whole and match == "full":
-            found.append(of_mask.select(*columns, "mask", F.lit("partial").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("appeared")))
+            found.append(of_mask.select(*columns, "mask", F.lit("partial").alias("kind"), nothing.alias("appeared")))
             continue
-        on = [c for c, b in zip(columns, bits) if b]
-        state = targets.groupBy(*on).agg(F.min("loaded_at").alias("appeared"), F.max("loaded_at").alias("renewed"), F.count(F.lit(1)).alias("n"))
-        judged = of_mask.join(state, on, "left")
-        if deletions is not None:
-            judged = judged.join(deletions.groupBy(*on).agg(F.max("deleted_at").alias("deleted_at")), on, "left")
-        else:
-            judged = judged.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
-        kind = (
-            F.when(F.col("deleted_at").isNotNull() & ~F.coalesce(F.col("renewed") > F.col("deleted_at"), F.lit(False)), "deleted")
-            .when(F.col("n").isNull(), "missing")
-            .when(F.col("appeared") > F.col("first_seen"), "late")
-        )
-        found.append(judged.withColumn("kind", kind).where("kind is not null").select(*columns, "mask", "kind", "appeared"))
+        on = [c for i, c in enumerate(columns) if mask >> i & 1]
+        state = targets.groupBy(*on).agg(F.min("loaded_at").alias("appeared"), F.max("loaded_at").alias("renewed"))
+        gone = None if deletions is None else deletions.groupBy(*on).agg(F.max("deleted_at").alias("deleted_at"))
+        known = state.withColumn("deleted_at", nothing) if gone is None else state.join(gone, on, "full_outer")
+        deleted = F.col("deleted_at").isNotNull() & ~F.coalesce(F.col("renewed") > F.col("deleted_at"), F.lit(False))
+        known = known.select(*on, "appeared", deleted.alias("deleted"))
+        # A key resolves if the target has it, not deleted, from before the first reference to it.
+        sound = known.where("not deleted and appeared is not null").select(*[F.col(c).alias(f"to_{c}") for c in on], F.col("appeared").alias("since"))
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"to_{c}") for c in on])
+        lost = of_mask.join(sound, same & ~(F.col("since") > F.col("first_seen")), "left_anti")
+        kind = F.when(F.coalesce("deleted", F.lit(False)), "deleted").when(F.col("appeared").isNull(), "missing").otherwise("late")
+        found.append(lost.join(known, on, "left").select(*columns, "mask", kind.alias("kind"), "appeared"))
     return reduce(DataFrame.unionByName, found)
 
 
-def unresolved(
-    rows: DataFrame,
-    row_key: str,
-    seen: str,
-    references: dict[str, tuple[DataFrame, str, DataFrame | None]],
-) -> DataFrame:
-    """(column_name, row_id, ref, kind, first_seen) for each id of `rows` and reference column that does not resolve.
+def unresolved(rows: DataFrame, row_key: str, seen: str, references: dict[str, Reference]) -> DataFrame:
+    """(column_name, row_id, mask, kind, first_seen) for each id of `rows` and named reference that
+    does not resolve; bit i of mask is set where the reference's column i is not NULL.
 
-    `references` maps an integer column of `rows` to (target rows with `loaded_at`, their key column,
-    deletions with `row_id` and `deleted_at`). An id with several rows counts once, with the
-    earliest `seen`. NULL references refer to nothing; NULL ids form one id. Repeated rows change
-    nothing; empty tables give an empty result, or all references missing.
+    An id with several rows counts once for each key it refers to, with the earliest `seen`. NULL
+    ids form one id. Repeated rows change nothing; empty tables give an empty result, or all
+    references missing.
     """
-    cells = lambda df: df.select(
-        F.col(row_key).alias("row_id"),
-        F.col(seen).alias("seen"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("ref")) for c in references])).alias("r"),
-    ).select("row_id", "seen", "r.column_name", "r.ref")
-    keys = cells(rows).where("ref is not null").groupBy("column_name", "ref").agg(F.min("seen").alias("first_seen"))
-    keys = keys.withColumn("mask", _mask(["ref"]))
-    faults = []
-    for column, (targets, key, deletions) in references.items():
-        of_column = keys.where(F.col("column_name") == column)
-        to = targets.select(F.col(key).alias("ref"), "loaded_at").where("ref is not null")
-        gone = None if deletions is None else deletions.select(F.col("row_id").alias("ref"), "deleted_at")
-        faults.append(faulty_keys(of_column, ["ref"], to, gone).withColumn("column_name", F.lit(column)))
-    bad = cut(reduce(DataFrame.unionByName, faults).select("column_name", "ref", "kind", "appeared"))
-    count = bad.count()
-    refs = cells(rows).where("ref is not null")
-    if count * KEY_BYTES <= BROADCAST_BYTES:
-        hit = refs.join(F.broadcast(bad), ["column_name", "ref"])
-    else:  # too many to broadcast: hot keys are salted on both sides
-        salted = bad.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        hit = refs.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, ["column_name", "ref", "salt"])
-    per_id = hit.groupBy("column_name", "row_id", "ref", "kind", "appeared").agg(F.min("seen").alias("first_seen"))
-    return per_id.where("kind <> 'late' OR appeared > first_seen").select("column_name", "row_id", "ref", "kind", "first_seen")
+    parts = []
+    for name, reference in references.items():
+        columns = [f"key_{i}" for i in range(len(reference.columns))]
+        named = lambda df, names: [F.col(f"`{n}`").alias(c) for n, c in zip(names, columns)]  # noqa: E731, B023
+        refs = rows.select(F.col(row_key).alias("row_id"), F.col(seen).alias("seen"), *named(rows, reference.columns))
+        refs = refs.where(F.coalesce(*columns).isNotNull()) if len(columns) == 1 else refs.where(_mask(columns) > 0)
+        to = reference.targets.select(*named(reference.targets, reference.keys), "loaded_at")
+        gone = None if reference.deletions is None else reference.deletions.select(*named(reference.deletions, reference.deleted_keys), "deleted_at")
+        if len(columns) == 1:
+            to = to.where("key_0 is not null")
+            gone = gone if gone is None else gone.where("key_0 is not null")
+        bad = cut(faulty_keys(referenced_keys(refs, columns, "seen"), columns, to, gone, reference.match)).alias("b")
+        same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) if len(columns) > 1 else F.col(f"r.{c}") == F.col(f"b.{c}") for c in columns])
+        if bad.count() * KEY_BYTES <= BROADCAST_BYTES:
+            hit = refs.alias("r").join(F.broadcast(bad), same)
+        else:  # too many to broadcast: hot keys are salted on both sides
+            salted = bad.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).alias("b")
+            left = refs.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).alias("r")
+            hit = left.join(salted, same & (F.col("r.salt") == F.col("b.salt")))
+        own = [f"r.{c}" for c in columns]
+        per_id = hit.groupBy("row_id", *own, "mask", "kind", "appeared").agg(F.min("seen").alias("first_seen"))
+        parts.append(per_id.where("kind <> 'late' OR appeared > first_seen").select(F.lit(name).alias("column_name"), "row_id", "mask", "kind", "first_seen"))
+    return reduce(DataFrame.unionByName, parts)

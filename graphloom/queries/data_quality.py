@@ -73,8 +73,9 @@ def p4_periods(spark: SparkSession, folder: str) -> DataFrame:
 def _unresolved(spark: SparkSession, folder: str) -> DataFrame:
     authors, books, members, loans, deletions = (read_table(spark, folder, t) for t in ("authors", "books", "members", "loans", "deletions"))
     gone = lambda t: deletions.where(F.col("table_name") == t)
-    of_loans = orphans.unresolved(loans, "id", "recorded_at", {"book_id": (books, "id", gone("books")), "member_id": (members, "id", gone("members"))})
-    of_books = orphans.unresolved(books, "id", "loaded_at", {"author_id": (authors, "id", gone("authors"))})
+    to = lambda column, target, name: orphans.Reference((column,), target, ("id",), gone(name))
+    of_loans = orphans.unresolved(loans, "id", "recorded_at", {"book_id": to("book_id", books, "books"), "member_id": to("member_id", members, "members")})
+    of_books = orphans.unresolved(books, "id", "loaded_at", {"author_id": to("author_id", authors, "authors")})
     return of_loans.select(F.lit("loans").alias("table_name"), "*").unionByName(of_books.select(F.lit("books").alias("table_name"), "*"))
 
 
@@ -90,4 +91,13 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_books, p2_found, p2_table, p2_typed, p3_found, p3_profile, p4_found, p4_periods, p5_found, p5_report)}
+def p5_composite(spark: SparkSession, folder: str) -> DataFrame:
+    """Loans whose book and member, or the one of them that is given, have no returned loan, by
+    null mask: a reference of two columns with partial match."""
+    loans = read_table(spark, folder, "loans")
+    ended = loans.where("returned_on is not null and book_id is not null and member_id is not null").withColumn("loaded_at", F.col("recorded_at"))
+    found = orphans.unresolved(loans, "id", "recorded_at", {"pair": orphans.Reference(("book_id", "member_id"), ended, ("book_id", "member_id"), match="partial")})
+    return found.groupBy("mask", "kind").agg(F.count(F.lit(1)).alias("references"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_books, p2_found, p2_table, p2_typed, p3_found, p3_profile, p4_found, p4_periods, p5_found, p5_report, p5_composite)}

@@ -204,6 +204,21 @@ WITH refs AS (
 """
 
 
+_P5_COMPOSITE = """
+WITH refs AS (
+  SELECT id, book_id, member_id, min(recorded_at) AS seen FROM loans WHERE book_id IS NOT NULL OR member_id IS NOT NULL GROUP BY ALL
+), ended AS (
+  SELECT book_id AS b, member_id AS m, min(recorded_at) AS lo FROM loans WHERE returned_on IS NOT NULL AND book_id IS NOT NULL AND member_id IS NOT NULL GROUP BY ALL
+), by_b AS (SELECT b, min(lo) AS lo FROM ended GROUP BY b), by_m AS (SELECT m, min(lo) AS lo FROM ended GROUP BY m
+), f AS (
+  SELECT (book_id IS NOT NULL)::INT + 2 * (member_id IS NOT NULL)::INT AS mask, seen,
+         CASE WHEN book_id IS NULL THEN by_m.lo WHEN member_id IS NULL THEN by_b.lo ELSE e.lo END AS lo
+  FROM refs LEFT JOIN ended e ON e.b = book_id AND e.m = member_id LEFT JOIN by_b ON by_b.b = book_id LEFT JOIN by_m ON by_m.m = member_id
+)
+SELECT mask, CASE WHEN lo IS NULL THEN 'missing' ELSE 'late' END AS kind, count(*) AS "references" FROM f WHERE lo IS NULL OR lo > seen GROUP BY ALL
+"""
+
+
 def sql() -> dict[str, str]:
     """Query name -> SQL."""
     return {
@@ -217,5 +232,6 @@ def sql() -> dict[str, str]:
         "p4_found": _P4 + "SELECT book_id, kind, from_day, to_day FROM x WHERE kind = 'gap' OR shared",
         "p4_periods": _P4 + "SELECT * FROM x",
         "p5_found": _P5 + "SELECT DISTINCT table_name, column_name, row_id, kind FROM f WHERE kind IS NOT NULL",
+        "p5_composite": _P5_COMPOSITE,
         "p5_report": _P5 + "SELECT table_name, column_name, kind, strftime(seen, '%Y-%m') AS month, count(*) AS \"references\" FROM f WHERE kind IS NOT NULL GROUP BY ALL",
     }

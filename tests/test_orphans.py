@@ -27,8 +27,8 @@ WANT = {(11, "late"), (14, "deleted"), (15, "missing"), (16, "deleted"), (18, "d
 
 def found(tables, **more):
     rows, targets, gone = tables
-    out = orphans.unresolved(rows, "id", "seen", {"ref": (targets, "id", gone)}).collect()
-    assert len({(r.row_id, r.ref) for r in out}) == len(out)
+    out = orphans.unresolved(rows, "id", "seen", {"ref": orphans.Reference(("ref",), targets, ("id",), gone)}).collect()
+    assert len({(r.row_id, r.first_seen) for r in out}) == len(out)
     return {(r.row_id, r.kind) for r in out}
 
 
@@ -43,8 +43,8 @@ def test_salted_join_gives_the_same(tables, monkeypatch):
 
 def test_empty_sides(spark, tables):
     rows, targets, gone = tables
-    assert orphans.unresolved(rows.limit(0), "id", "seen", {"ref": (targets, "id", gone)}).count() == 0
-    none = orphans.unresolved(rows, "id", "seen", {"ref": (targets.limit(0), "id", None)}).collect()
+    assert orphans.unresolved(rows.limit(0), "id", "seen", {"ref": orphans.Reference(("ref",), targets, ("id",), gone)}).count() == 0
+    none = orphans.unresolved(rows, "id", "seen", {"ref": orphans.Reference(("ref",), targets.limit(0), ("id",))}).collect()
     assert {r.kind for r in none} == {"missing"} and len(none) == 9
 
 
@@ -59,3 +59,15 @@ def test_match_semantics_by_null_mask(spark, match, want):
 def test_unknown_semantics(spark):
     with pytest.raises(ValueError):
         orphans.faulty_keys(None, ["a"], None, match="odd")
+
+
+@pytest.mark.parametrize("limit", [orphans.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("match, want", [("simple", {(2, 3, "missing"), (6, 3, "deleted")}), ("full", {(2, 3, "missing"), (3, 1, "partial"), (4, 2, "partial"), (5, 2, "partial"), (6, 3, "deleted")}), ("partial", {(2, 3, "missing"), (5, 2, "missing"), (6, 3, "deleted")})])
+def test_two_columns_with_nulls(spark, monkeypatch, limit, match, want):
+    monkeypatch.setattr(orphans, "BROADCAST_BYTES", limit)
+    rows = [(1, 1, 2), (2, 1, 9), (3, 1, None), (4, None, 2), (5, None, 7), (6, 3, 3), (7, None, None), (2, 1, 9)]
+    refs = spark.createDataFrame([(i, a, b, at(1), "clash") for i, a, b in rows], "id bigint, a bigint, b bigint, seen timestamp_ntz, mask string")
+    targets = spark.createDataFrame([(1, 2, at(0)), (1, 2, at(3)), (3, 3, at(0)), (None, None, at(0))], "x bigint, y bigint, loaded_at timestamp_ntz")
+    gone = spark.createDataFrame([(3, 3, at(1))], "p bigint, q bigint, deleted_at timestamp_ntz")
+    found = orphans.unresolved(refs, "id", "seen", {"pair": orphans.Reference(("a", "b"), targets, ("x", "y"), gone, ("p", "q"), match)})
+    assert {(r.row_id, r["mask"], r.kind) for r in found.collect()} == want and found.count() == len(want)
