@@ -114,11 +114,12 @@ def previous_in_group(df: DataFrame, group: str, order: list[str], carry: str, a
     return prefix_scan(ordered, last, lambda state, summary: summary, lag, schema)
 
 
-def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | None = None, lead: dict[str, str] | None = None, carry: dict[str, str] | None = None) -> DataFrame:
+def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | None = None, lead: dict[str, str] | None = None, carry: dict[str, str] | None = None, counted: str | None = None) -> DataFrame:
     """df with columns that depend on the rows before and after in a group, without a window per
     group: one group may hold any share of the rows.
 
-    number: name of a 0-based count of the earlier rows of the group. lead: {bigint column: name}
+    number: name of a 0-based count of the earlier rows of the group, of those with a 1 in `counted`
+    (a bigint column of 0 and 1) if it is given. lead: {bigint column: name}
     of its value in the next row of the group. carry: {bigint column: name} of its last value that
     is not NULL in the earlier rows of the group. Values are NULL where there is no such row. Rows
     with a NULL group form one group. Ties in `order` are numbered in an arbitrary order.
@@ -130,12 +131,15 @@ def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | N
     added = ([number] if number else []) + [*lead.values(), *carry.values()]
     columns = df.columns
     ordered = range_sort(df, [group, *order])
-    light = ordered.select(group, *dict.fromkeys([*lead, *carry]), SCAN_PARTITION)
+    light = ordered.select(group, *dict.fromkeys([*lead, *carry, *([counted] if counted else [])]), SCAN_PARTITION)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` bigint" for name in added])
 
     def values(batch: pa.RecordBatch, name: str) -> np.ndarray:
         return np.array(batch.column(name).to_pylist(), dtype=object)
 
+    def weights(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(counted).to_numpy(zero_copy_only=False).astype(np.int64) if counted else np.ones(batch.num_rows, dtype=np.int64)
+
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = head = head_lead = tail = None
         count, single, last = 0, True, {}
@@ -153,7 +157,7 @@ def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | N
             if first_new or len(change):
                 count, single, last = 0, False, {}
             tail = groups[-1]
-            count += len(groups) - at
+            count += int(weights(batch)[at:].sum())
             for c in carry:
                 kept = [v for v in values(batch, c)[at:] if v is not None]
                 if kept:
@@ -210,7 +214,9 @@ def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | N
             new[0] = fresh or groups[0] != tail
             index = np.arange(len(groups))
             starts = np.maximum.accumulate(np.where(new, index, -1))
-            extra = {"n": np.where(starts >= 0, index - starts, index + (count or 0))}
+            weight = weights(batch)
+            before_row = np.cumsum(weight) - weight
+            extra = {"n": np.where(starts >= 0, before_row - before_row[np.maximum(starts, 0)], before_row + (count or 0))}
             for c in carry:
                 out, last = [], carried.get(c)
                 for value, is_new in zip(values(batch, c), new):
@@ -219,7 +225,7 @@ def annotate_groups(df: DataFrame, group: str, order: list[str], number: str | N
                     last = value if value is not None else last
                 extra[c] = np.array([*out, None], dtype=object)[:-1]
                 carried[c] = last
-            tail, fresh, count = groups[-1], False, int(extra["n"][-1]) + 1
+            tail, fresh, count = groups[-1], False, int(extra["n"][-1] + weight[-1])
             held = (batch, groups, extra)
         if held is not None:
             there = part in after

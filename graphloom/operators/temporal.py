@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from graphloom.operators.scan import annotate_groups
 
 #: Expiry of a version that is not closed.
 NEVER = (1 << 63) - 1
+#: Moments that are broadcast, at most.
+MOMENTS_MOST = 1_000_000
 #: Fixed value: how long a closed version is kept, in seconds.
 RETAIN_SECONDS = 2_592_000
 
@@ -60,8 +64,8 @@ def versions_from_log(log: DataFrame, config: TemporalConfig | None = None) -> D
     clean = log.where("_key is not null and op in ('INSERT', 'REPLACE', 'DELETE')")
     once = clean.groupBy("_key", "seq").agg(F.max(F.struct("op", "ts", *[F.col(f"`{c}`") for c in fields])).alias("r"))
     flat = once.select("_key", "seq", "r.op", F.col("r.ts").cast("bigint").alias("ts"), *[F.col(f"r.`{c}`").alias(c) for c in fields])
-    closed = annotate_groups(flat, "_key", ["seq"], lead={"ts": "__next"}).where("op <> 'DELETE'")
-    numbered = annotate_groups(closed, "_key", ["seq"], number="_version")
+    stated = flat.withColumn("__state", F.when(F.col("op") == "DELETE", 0).otherwise(1).cast("bigint"))
+    numbered = annotate_groups(stated, "_key", ["seq"], number="_version", counted="__state", lead={"ts": "__next"}).where("__state = 1")
     proxy = _sharded(F.col("_key"), config, numbered)
     expired = F.coalesce("__next", F.lit(NEVER))
     return numbered.select(
@@ -104,17 +108,37 @@ def snapshot_at(versions: DataFrame, t: int) -> DataFrame:
 
 
 def snapshots_at(versions: DataFrame, moments: DataFrame, t: str = "t", width: int = 86_400_000_000) -> DataFrame:
-    """Versions alive at each of many moments, as a bucketed interval join: versions and moments
-    meet by bucket of `width` microseconds. A version enters the buckets that it shares with the
-    first and last moment; the moments are a bounded question set."""
-    lo, hi = moments.agg(F.min(t), F.max(t)).first()
-    if lo is None:
+    """Versions alive at each of many moments: a row per version and moment.
+
+    Up to MOMENTS_MOST different moments are broadcast in order, and each version finds its own by
+    binary search, so that nothing is shuffled and no more rows come up than the result has. Beyond,
+    versions and moments meet by bucket of `width` microseconds."""
+    asked = moments.where(F.col(t).isNotNull()).select(F.col(t).cast("bigint").alias(t)).distinct()
+    listed = [r[0] for r in asked.limit(MOMENTS_MOST + 1).collect()]
+    if not listed:
         return versions.limit(0).withColumn(t, F.lit(None).cast("bigint"))
+    if len(listed) > MOMENTS_MOST:
+        return _bucketed_snapshots(versions, asked, t, width)
+    known = versions.sparkSession.sparkContext.broadcast(np.array(sorted(listed), dtype=np.int64))
+
+    @F.pandas_udf("array<bigint>")
+    def alive(created: pd.Series, expired: pd.Series) -> pd.Series:
+        times = known.value
+        first, last = np.searchsorted(times, created.to_numpy(), "left"), np.searchsorted(times, expired.to_numpy(), "left")
+        return pd.Series([times[a:b] for a, b in zip(first, last)], dtype=object)
+
+    some = versions.where((F.col("created") <= max(listed)) & (F.col("expired") > min(listed)))
+    return some.select("*", F.explode(alive("created", "expired")).alias(t))
+
+
+def _bucketed_snapshots(versions: DataFrame, asked: DataFrame, t: str, width: int) -> DataFrame:
+    """snapshots_at for any number of moments. A version enters the buckets that it shares with the
+    first and last moment."""
+    lo, hi = asked.agg(F.min(t), F.max(t)).first()
     spans = versions.where((F.col("created") <= hi) & (F.col("expired") > lo))
     first, last = F.floor(F.greatest("created", F.lit(lo)) / width), F.floor(F.least(F.col("expired") - 1, F.lit(hi)) / width)
     keyed = spans.withColumn("__b", F.explode(F.sequence(first, last)))
-    asked = moments.select(t).distinct().withColumn("__b", F.floor(F.col(t) / width))
-    return keyed.join(asked, "__b").where((F.col("created") <= F.col(t)) & (F.col("expired") > F.col(t))).drop("__b")
+    return keyed.join(asked.withColumn("__b", F.floor(F.col(t) / width)), "__b").where((F.col("created") <= F.col(t)) & (F.col("expired") > F.col(t))).drop("__b")
 
 
 def overlapping(versions: DataFrame, start: int, end: int) -> DataFrame:

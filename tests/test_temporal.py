@@ -49,6 +49,19 @@ def test_lifecycle_and_questions(spark):
     assert sorted((r.t // s, r._key) for r in t.snapshots_at(v, moments, width=7 * s).collect()) == [(12, "a-0"), (20, "a-1"), (20, "b-0"), (99, "a-2"), (99, "b-0")]
 
 
+def test_many_moments_give_the_same(spark, monkeypatch):
+    pick = random.Random(6)
+    rows = [(f"k{pick.randrange(4)}", pick.choice(["INSERT", "REPLACE", "DELETE"]), i, i * 10 + pick.randrange(9), "v") for i in range(60)]
+    v = versions(spark, rows)
+    moments = spark.createDataFrame([(pick.randrange(700),) for _ in range(50)] + [(None,)], "t bigint")
+    found = lambda: sorted((r.t, r._key) for r in t.snapshots_at(v, moments, width=37).collect())
+    want = sorted((m, r._key) for r in v.collect() for m in {x.t for x in moments.collect()} if m is not None and r.created <= m < r.expired)
+    assert found() == want and want
+    monkeypatch.setattr(t, "MOMENTS_MOST", 3)
+    assert found() == want
+    assert t.snapshots_at(v, moments.limit(0)).count() == 0
+
+
 def test_shards_exclusion_and_empty(spark):
     config = t.TemporalConfig(smart_field="shard", exclude_collections=("logs",))
     out = versions(spark, [("a", "INSERT", 1, 1, "x")], config).first()
