@@ -60,14 +60,19 @@ def build_parser() -> argparse.ArgumentParser:
     command("export-model", "schema", "config", label_policy={"default": "qualify", "choices": export.LABEL_POLICIES})
     command("export-r2rml", "schema", "config")
     command("generate-import", "config", "folder", "tool")
+    command("generate-csv-import", "schema", "config", "folder", "tool")
+    command("entitlements-emit", "schema", "config", "folder", threshold={"default": "confidential", "choices": governance.LEVELS}, project={"default": None})
+    command("diff-classifications", "old", "new")
     command("entitlements", "schema", "config", threshold={"default": "confidential", "choices": governance.LEVELS})
     command("propose", "schema", "proposal", "output")
-    command("validate-data", "schema", source=True)
+    command("validate-data", "schema", source=True, issues={"type": int, "default": 100, "help": "rows listed for each reference"})
     command("inspect", "table", source=True, rows={"type": int, "default": 20})
     command("dump", "output", source=True)
     command("transform", "schema", "config", "output", source=True, limit={"type": int, "default": None})
     command("load", "schema", "config", "store", source=True, graph={"default": "graph"}, on_duplicate={"default": "replace"}, dry_run=flag, skip_existing=flag, drop_collections=flag, since={"default": None}, since_column={"default": None})
-    command("apply-log", "schema", "config", "store", "log", "checkpoint", format={"default": "debezium", "choices": ("debezium", "flat", "test_decoding", "wal2json")}, policy={"default": "source_wins"})
+    command("apply-log", "schema", "config", "store", "log", "checkpoint", format={"default": "debezium", "choices": ("debezium", "flat", "test_decoding", "wal2json")}, policy={"default": "source_wins"}, threshold={"default": None, "choices": governance.LEVELS}, dead_letters={"default": None})
+    command("kafka-start", "schema", "config", "store", "brokers", "topics", "checkpoint", format={"default": "debezium", "choices": ("debezium", "flat")}, policy={"default": "source_wins"}, threshold={"default": None, "choices": governance.LEVELS}, dead_letters={"default": None})
+    command("slot-land", "connection", "slot", "folder", most={"type": int, "default": 1000})
     return parser
 
 
@@ -110,6 +115,13 @@ def main(argv: list[str] | None = None) -> int:
         print(export.r2rml(config, schema))
     elif name == "generate-import":
         print(export.load_script(config, args.folder, args.tool))
+    elif name == "generate-csv-import":
+        print(export.csv_load_script(config, schema, args.folder, args.tool))
+    elif name == "entitlements-emit":
+        found = governance.report(config, schema, args.threshold)
+        _show(governance.write_artifacts(args.folder, found, found.blocked, args.project))
+    elif name == "diff-classifications":
+        _show(governance.drift(model.load(model.Schema, args.old), model.load(model.Schema, args.new)))
     elif name == "entitlements":
         found = governance.report(config, schema, args.threshold)
         _show({"manifest": governance.manifest(found, found.blocked), "roles": governance.suggested_roles(found)})
@@ -152,7 +164,20 @@ def _with_data(args: argparse.Namespace, schema: model.Schema | None, config: mo
         from graphloom.streaming.apply import run_stream
 
         spark = _session()
-        run_stream(spark.readStream.text(args.log), args.format, GraphStore(spark, args.store), schema, config, args.checkpoint, policy=args.policy).awaitTermination()
+        log = spark.readStream.text(args.log)
+        run_stream(log, args.format, GraphStore(spark, args.store), schema, config, args.checkpoint, policy=args.policy, threshold=args.threshold, dead_letters=args.dead_letters).awaitTermination()
+        return 0
+    if args.command == "kafka-start":
+        from graphloom.sources.databases import create_source
+
+        spark = _session()
+        topics = create_source(spark, "kafka", args.brokers)
+        topics.apply(args.topics, args.format, GraphStore(spark, args.store), schema, config, args.checkpoint, policy=args.policy, threshold=args.threshold, dead_letters=args.dead_letters, available_now=False).awaitTermination()
+        return 0
+    if args.command == "slot-land":
+        from graphloom.sources.databases import Database, Slot
+
+        _show(Slot(Database(_session(), "postgresql", args.connection), args.slot).land(args.folder, args.most))
         return 0
     source = _source(args)
     if args.command == "inspect":
@@ -168,7 +193,9 @@ def _with_data(args: argparse.Namespace, schema: model.Schema | None, config: mo
             if fk.foreign_table in schema.tables
         }
         rows = [r.asDict() for r in profile.orphan_summary(checks).collect()] if checks else []  # a row per reference
-        _show(rows)
+        keyed = {name: schema.tables[name.split(".")[0]].primary_key or checks[name][1] for name in checks}
+        listed = [r.asDict() for r in profile.orphan_issues(checks, keyed, args.issues).collect()] if checks else []  # bounded by the report's length
+        _show({"references": rows, "issues": listed})
         return int(any(r["orphans"] for r in rows))
     elif args.command == "transform":
         read = source.rows if args.limit is None else lambda t: source.rows(t).limit(args.limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,18 @@ def orphan_summary(checks: dict[str, tuple[DataFrame, list[str], DataFrame, list
     return out
 
 
+def orphan_issues(checks: dict[str, tuple[DataFrame, list[str], DataFrame, list[str]]], row_keys: dict[str, list[str]], most: int | None = None) -> DataFrame:
+    """(check, row_key, value) of each row whose reference leads nowhere; parts of keys are joined
+    by commas. `row_keys` names the columns that tell a check's rows apart. `most` is the length
+    of a report: so many rows of each check, in no order."""
+    parts = []
+    for name, (child, columns, parent, keys) in checks.items():
+        text = lambda names: F.concat_ws(",", *[F.coalesce(_text(child, c), F.lit("")) for c in names])  # noqa: E731, B023
+        lost = orphans(child, columns, parent, keys).select(F.lit(name).alias("check"), text(row_keys[name]).alias("row_key"), text(columns).alias("value"))
+        parts.append(lost if most is None else lost.limit(most))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def value_overlap(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """(distinct_values, found, overlap): share of the distinct values of a column, as text, that
     are in a key column; overlap is NULL where there are none."""

@@ -171,6 +171,46 @@ def load_script(config: MappingConfig, folder: str, tool: str, on_duplicate: str
     return "\n".join(lines) + "\n"
 
 
+#: Types that the bulk tool gives to CSV columns; a blank has neither number nor truth.
+CSV_TYPES = {"integer": "number", "float": "number", "boolean": "boolean"}
+
+
+def csv_load_script(config: MappingConfig, schema: Schema, folder: str, tool: str, on_duplicate: str = "replace") -> str:
+    """A shell script that loads dumped CSV tables directly: keys are renamed or merged from
+    columns, other columns of an edge removed. References stand as they are in the dump, so keys
+    that need escaping or mapped properties need load_script instead."""
+
+    def made(attribute: str, columns: list[str]) -> list[str]:
+        if len(columns) == 1:
+            return [f'--translate "{columns[0]}={attribute}"']
+        template = config.key_separator.join(f"[{c}]" for c in columns)
+        return [f'--merge-attributes "{attribute}={template}"']
+
+    def call(table: str, collection: str, kind: str, options: list[str]) -> str:
+        shared = [f'{tool} --file "$DATA/{table}.csv"', "--type csv", f'--collection "{collection}"', "--create-collection true", f"--create-collection-type {kind}", f"--on-duplicate {on_duplicate}"]
+        return " \\\n  ".join([*shared, *options])
+
+    calls = []
+    for m in config.collections.values():
+        table = schema.tables.get(m.source_table)
+        if table is None:
+            continue
+        typed = [(c.name, CSV_TYPES.get(logical_type(c.data_type))) for c in table.columns if c.name not in table.primary_key and not c.is_nullable]
+        options = (made("_key", table.primary_key) if table.primary_key else []) + [f'--datatype "{c}=string"' for c in table.primary_key] + [f'--datatype "{c}={k}"' for c, k in typed if k]
+        calls.append(call(table.name, m.target_collection, "document", options))
+    at = config.targets()
+    for e in config.edges:
+        table = schema.tables.get(e.from_collection)
+        if table is None or not table.primary_key:
+            continue
+        ends = made("_from", table.primary_key) + made("_to", e.from_fields)
+        prefixes = [f'--from-collection-prefix "{at.get(e.from_collection, e.from_collection)}"', f'--to-collection-prefix "{at.get(e.to_collection, e.to_collection)}"']
+        kept = {*table.primary_key, *e.from_fields}
+        options = [*ends, *prefixes, *[f'--datatype "{c}=string"' for c in table.names if c in kept], *[f'--remove-attribute "{c}"' for c in table.names if c not in kept]]
+        calls.append(call(table.name, e.edge_collection, "edge", options))
+    return "\n".join(["#!/usr/bin/env bash", "set -euo pipefail", f'DATA="${{DATA:-{folder}}}"', "", *calls]) + "\n"
+
+
 def graph_script(config: MappingConfig, name: str, module: str) -> str:
     """A script for a graph shell that creates the named graph."""
     relations = [f"graph._relation({json.dumps(d['edge_collection'])}, {json.dumps(d['from_vertex_collections'])}, {json.dumps(d['to_vertex_collections'])})" for d in config.graph_definition()]

@@ -292,6 +292,16 @@ def orphan_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def orphan_issues(spark: SparkSession, folder: str) -> DataFrame:
+    t = lambda n: read_table(spark, folder, n)
+    checks = {
+        "loans": (t("loans"), ["book_id"], t("books"), ["id"]),
+        "books": (t("books"), ["author_id"], t("authors"), ["id"]),
+        "lineitem": (t("lineitem"), ["l_orderkey", "l_linenumber"], t("lineitem").where("l_quantity > 25"), ["l_orderkey", "l_linenumber"]),
+    }
+    return profile.orphan_issues(checks, {"loans": ["id", "recorded_at"], "books": ["id"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]})
+
+
 def value_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return profile.value_overlap(read_table(spark, folder, "loans"), "member_id", read_table(spark, folder, "members"), "id")
 
@@ -342,9 +352,14 @@ def fk_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_key_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    warehouse = model.Schema({"usage": model.Table("usage", [model.Column("account_id", "UInt64"), model.Column("hits", "UInt32")])})
-    crm = model.Schema({"accounts": model.Table("accounts", [model.Column("account_id", "bigint", False, True), model.Column("name")], ["account_id"])})
-    found, _ = inference.infer_shared_keys({"warehouse": warehouse, "crm": crm})
+    """Keys that three sources share, with probes of their values: the catalogue (books, members by
+    their keys), the desk (loans) and the reviews (documents)."""
+    renamed = {"books": {"id": "book_id"}, "members": {"id": "member_id"}, "loans": {"id": "loan_no"}, "documents": {"item_id": "book_id", "reviewer_id": "member_id"}}
+    frames = {n: read_table(spark, folder, n).withColumnsRenamed(names) for n, names in renamed.items()}
+    sources = {"catalogue": {"books": ["book_id"], "members": ["member_id"]}, "desk": {"loans": []}, "reviews": {"documents": []}}
+    schemas = {source: model.Schema({t: project.table_of(frames[t], t, pk) for t, pk in tables.items()}) for source, tables in sources.items()}
+    overlap = lambda a, b: profile.value_overlap(frames[a[1]], a[2], frames[b[1]], b[2]).first()["overlap"]
+    found, _ = inference.infer_shared_keys(schemas, overlap=overlap)
     return spark.createDataFrame([(k.key, ".".join(k.hub or ()), k.concept, ";".join(".".join(r) for r in k.references), k.method, k.confidence) for k in found], "key string, hub string, concept string, references string, method string, confidence double")
 
 
@@ -625,7 +640,7 @@ QUERIES = {
         flagship, vertex_customer, vertex_orders, vertex_excludes_and_renames, vertex_composite_key, vertex_key_sanitized_timestamp, vertex_key_sanitized_text, vertex_without_mapping, vertex_without_key,
         coerce_types, coerce_rejects, coerce_event_props, *_EDGE_QUERIES, edge_null_fk_dropped, edge_join_table, edge_composite, edge_nonpk_target, graph_all_edges, since_incremental,
         degree_distribution, two_hop_region_orders, dangling_edges, expr_arith, expr_strings, expr_null_logic, expr_ternary, *[_masked(k) for k in ("hash", "tokenize", "redact", "nullify")],
-        orphan_check, orphan_summary, value_overlap, distinct_ratio, fd_strength, delimiter_rate, embedded_lookup_candidates, pk_candidates, fk_candidates, shared_key_candidates, mosaic_levels, gate_excludes,
+        orphan_check, orphan_summary, orphan_issues, value_overlap, distinct_ratio, fd_strength, delimiter_rate, embedded_lookup_candidates, pk_candidates, fk_candidates, shared_key_candidates, mosaic_levels, gate_excludes,
         cdc_debezium_parse, cdc_flat_parse, cdc_wal2json_parse, cdc_test_decoding_parse, _applied("source_wins", "cdc_apply_source_wins"), _applied("last_write_wins", "cdc_apply_lww"), _applied("log_and_skip", "cdc_apply_log_and_skip"),
         conflict_counts, *[_loaded(m) for m in ("replace", "update", "ignore")], load_then_late_change, cdc_long_transaction, cdc_deltas, cdc_edge_rewire,
         temporal_versions, temporal_snapshot_at, temporal_snapshots_at, temporal_overlap, temporal_changed_between, temporal_current, temporal_history, temporal_has_version_edges, temporal_ttl, temporal_proxied_edges,

@@ -108,6 +108,57 @@ def _encoded(column: str) -> str:
     return f"array_to_string(list_transform(string_split({column}, ''), lambda ch: CASE WHEN regexp_full_match(ch, '{kept}') THEN ch ELSE regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') END), '')"
 
 
+def _embedded_lookups() -> str:
+    columns = ["c_nationkey", "n_name", "n_regionkey", "c_mktsegment"]
+    ratios = " UNION ALL ".join(f"SELECT '{c}' AS a, count(DISTINCT {c}) / count({c}) AS ratio FROM x" for c in columns)
+    strengths = " UNION ALL ".join(_fd(a, b) for a in columns for b in columns if a != b)
+    return (
+        _CUSTOMER_NATION
+        + f", r AS ({ratios}), s AS ({strengths}), h AS (SELECT determinant, string_agg(dependent, ',' ORDER BY dependent) AS dependents, count(*) AS n, avg(strength) AS mean FROM s WHERE strength >= 0.98 GROUP BY 1) "
+        "SELECT 'embedded_lookup' AS kind, determinant, dependents, least(0.95, round(0.5 + 0.1 * least(n, 3) + CASE WHEN ratio <= 0.2 THEN 0.1 ELSE 0 END + CASE WHEN mean >= 0.999 THEN 0.1 ELSE 0 END, 3)) AS confidence "
+        "FROM h JOIN r ON a = determinant WHERE ratio > 0 AND ratio <= 0.5"
+    )
+
+
+def _shared_keys() -> str:
+    def share(table: str, column: str, target: str) -> str:
+        return f"(SELECT count(*) FILTER (v IN (SELECT id FROM {target})) / count(*) FROM (SELECT DISTINCT {column} AS v FROM {table} WHERE {column} IS NOT NULL))"
+
+    def row(key: str, target: str, concept: str, column: str) -> str:
+        return (
+            f"SELECT '{key}' AS key, 'catalogue.{target}.{key}' AS hub, '{concept}' AS concept, 'desk.loans.{key};reviews.documents.{key}' AS \"references\", 'hub_primary_key' AS method, "
+            f"greatest({share('loans', key, target)}, {share('documents', column, target)}) AS most"
+        )
+
+    return f"SELECT key, hub, concept, \"references\", method, round(0.9 + CASE WHEN most >= 0.9 THEN 0.08 WHEN most >= 0.5 THEN 0.04 ELSE 0 END, 4) AS confidence FROM ({row('book_id', 'books', 'Book', 'item_id')} UNION ALL {row('member_id', 'members', 'Member', 'reviewer_id')})"
+
+
+#: Levels of the classified columns, and the references between the classified tables.
+_MOSAIC = """
+WITH levels(level, r) AS (VALUES ('public', 0), ('internal', 1), ('confidential', 2), ('restricted', 3)
+), marked(t, c, r) AS (VALUES ('customer', 'c_name', 3), ('customer', 'c_acctbal', 2), ('nation', 'n_name', 1)
+), fks(t, c, f, k) AS (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey')
+), sets AS (SELECT n AS name, coalesce((SELECT max(r) FROM marked WHERE t = n), 0) AS r FROM (VALUES ('region'), ('nation'), ('customer'), ('orders')) AS x(n)
+), edges AS (
+  SELECT t || '_to_' || f AS name, greatest((SELECT r FROM sets WHERE name = t), (SELECT r FROM sets WHERE name = f), coalesce((SELECT r FROM marked m WHERE m.t = fks.t AND m.c = fks.c), 0)) AS r FROM fks
+)
+SELECT 'collection' AS kind, name, level FROM sets JOIN levels USING (r) UNION ALL SELECT 'edge', name, level FROM edges JOIN levels USING (r)
+"""
+
+_FK_CANDIDATES = """
+SELECT c.table_name, c.column_name AS columns, t.table_name AS foreign_table, 'name_suffix' AS method, 0.85::DOUBLE AS confidence
+FROM information_schema.columns c JOIN information_schema.columns t ON t.table_name = left(c.column_name, length(c.column_name) - 3) || 's' AND t.column_name = 'id' AND t.data_type = c.data_type
+WHERE c.table_name IN ('authors', 'books', 'members', 'loans') AND t.table_name IN ('authors', 'books', 'members', 'loans') AND c.column_name LIKE '%_id' AND c.table_name <> t.table_name
+"""
+
+
+def _lost(table: str, columns: list[str], parent: str, keys: list[str], row_key: str) -> str:
+    value = " || ',' || ".join(f"{c}::VARCHAR" for c in columns)
+    same = " AND ".join(f"p.{k} = c.{c}" for c, k in zip(columns, keys))
+    given = " AND ".join(f"c.{c} IS NOT NULL" for c in columns)
+    return f"SELECT '{table}' AS check, {row_key} AS row_key, {value} AS value FROM {table} c WHERE {given} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {same})"
+
+
 def sql() -> dict[str, str]:
     """Query name -> SQL."""
     stamp = _STAMP.format
@@ -142,6 +193,17 @@ def sql() -> dict[str, str]:
         "mask_redact": "SELECT c_custkey::VARCHAR AS _key, c_custkey, '***' AS c_name FROM customer",
         "mask_nullify": "SELECT c_custkey::VARCHAR AS _key, c_custkey, NULL::VARCHAR AS c_name FROM customer",
         "orphan_check": "SELECT o_orderkey, o_custkey + 100000000 AS ref FROM orders WHERE o_orderkey % 11 = 0",
+        "embedded_lookup_candidates": _embedded_lookups(),
+        "shared_key_candidates": _shared_keys(),
+        "mosaic_levels": _MOSAIC,
+        "fk_candidates": _FK_CANDIDATES,
+        "orphan_issues": " UNION ALL ".join(
+            [
+                _lost("loans", ["book_id"], "books", ["id"], f"id || ',' || {stamp('recorded_at')}"),
+                _lost("books", ["author_id"], "authors", ["id"], "id::VARCHAR"),
+                _lost("lineitem", ["l_orderkey", "l_linenumber"], "(SELECT * FROM lineitem WHERE l_quantity > 25)", ["l_orderkey", "l_linenumber"], "l_orderkey || ',' || l_partkey || ',' || l_suppkey"),
+            ]
+        ),
         "orphan_summary": " UNION ALL ".join(
             _orphans(*x) for x in (("loans.book_id", "loans", "book_id", "books", "id"), ("loans.member_id", "loans", "member_id", "members", "id"), ("books.author_id", "books", "author_id", "authors", "id"), ("lineitem.l_orderkey", "lineitem", "l_orderkey", "orders", "o_orderkey"))
         ),

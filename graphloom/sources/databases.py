@@ -8,6 +8,7 @@ import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom.functions.types import clean_type
@@ -16,7 +17,10 @@ from graphloom.operators.project import since
 #: Catalog queries by database: columns, primary keys and foreign keys of a schema. Each gives
 #: table_name first, in the order of its columns.
 _INFORMATION_SCHEMA = {
-    "columns": "SELECT table_name, column_name, data_type, is_nullable FROM information_schema.columns WHERE table_schema = '{schema}' ORDER BY table_name, ordinal_position",
+    "columns": (
+        "SELECT c.table_name, c.column_name, c.data_type, c.is_nullable FROM information_schema.columns c JOIN information_schema.tables t "
+        "ON t.table_schema = c.table_schema AND t.table_name = c.table_name WHERE c.table_schema = '{schema}' AND t.table_type = 'BASE TABLE' ORDER BY c.table_name, c.ordinal_position"
+    ),
     "keys": (
         "SELECT k.table_name, k.column_name FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k "
         "ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name "
@@ -53,7 +57,15 @@ CATALOG = {
             "JOIN sys.columns rc ON rc.object_id = rt.object_id AND rc.column_id = x.referenced_column_id WHERE s.name = '{schema}'"
         )
     },
-    "snowflake": {"columns": _INFORMATION_SCHEMA["columns"].replace("'{schema}'", "upper('{schema}')")},
+    # Keys are told by SHOW only: it runs as each session opens, and the query reads its result.
+    "snowflake": {
+        "columns": _INFORMATION_SCHEMA["columns"].replace("'{schema}'", "upper('{schema}')"),
+        "keys": ("SHOW PRIMARY KEYS IN SCHEMA {schema}", 'SELECT "table_name", "column_name" FROM TABLE(RESULT_SCAN(LAST_QUERY_ID())) ORDER BY "table_name", "key_sequence"'),
+        "references": (
+            "SHOW IMPORTED KEYS IN SCHEMA {schema}",
+            'SELECT "fk_table_name", "fk_name", "fk_column_name", "pk_table_name", "pk_column_name" FROM TABLE(RESULT_SCAN(LAST_QUERY_ID())) ORDER BY "fk_table_name", "fk_name", "key_sequence"',
+        ),
+    },
     "clickhouse": {
         "columns": "SELECT table AS table_name, name AS column_name, type AS data_type, 'YES' AS is_nullable FROM system.columns WHERE database = '{schema}' ORDER BY table, position",
         "keys": "SELECT table AS table_name, name AS column_name FROM system.columns WHERE database = '{schema}' AND is_in_primary_key ORDER BY table, position",
@@ -122,7 +134,12 @@ class Database:
 
     def _catalog(self, what: str) -> list[tuple]:
         text = CATALOG[self.kind].get(what)
-        return [tuple(r) for r in self._read(query=text.format(schema=self.schema_name)).collect()] if text else []  # catalog rows
+        if not text:
+            return []
+        first, query = text if isinstance(text, tuple) else (None, text)
+        named = lambda sql: sql.format(schema=self.schema_name)
+        options = {"query": named(query)} | ({"sessionInitStatement": named(first)} if first else {})
+        return [tuple(r) for r in self._read(**options).collect()]  # catalog rows
 
     def schema(self) -> model.Schema:
         return build_schema(self.kind, self._catalog("columns"), self._catalog("keys"), self._catalog("references"), self._catalog("partitions"))
@@ -140,6 +157,40 @@ class Database:
         return self.rows(table).limit(n)
 
 
+class Slot:
+    """A logical replication slot of PostgreSQL, landed as files that a stream reads.
+
+    Changes are looked at without being taken, written, and only then is the slot moved past them:
+    what is lost in between is read again, and changes that come twice change nothing. The files
+    hold one JSON line per change (lsn, xid, value)."""
+
+    def __init__(self, database: Database, name: str):
+        self.database, self.name = database, name
+
+    def peek(self, most: int = 1000) -> DataFrame:
+        return self.database._read(query=f"SELECT lsn::text AS lsn, xid::text::bigint AS xid, data AS value FROM pg_logical_slot_peek_changes('{self.name}', NULL, {int(most)})")
+
+    def advance(self, lsn: str) -> None:
+        self.database._read(query=f"SELECT end_lsn::text FROM pg_replication_slot_advance('{self.name}', '{lsn}'::pg_lsn)").collect()
+
+    def land(self, folder: str, most: int = 1000) -> int:
+        """Land the next changes; returns how many."""
+        from graphloom.plans.runtime import cut
+        from graphloom.streaming.changelog import lsn_number
+
+        changes = cut(self.peek(most))
+        last = changes.agg(F.count(F.lit(1)).alias("n"), F.max_by("lsn", lsn_number(F.col("lsn"))).alias("lsn")).first()
+        if last["n"]:
+            changes.coalesce(1).write.mode("append").json(folder)
+            self.advance(last["lsn"])
+        return last["n"]
+
+
+def landed_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of a folder of landed changes; its position is the query's checkpoint."""
+    return spark.readStream.schema("lsn string, xid bigint, value string").json(folder)
+
+
 #: Source types of Avro and JSON Schema types.
 AVRO = {"int": "integer", "long": "integer", "float": "double precision", "double": "double precision", "boolean": "boolean", "array": "array", "map": "object", "record": "object"}
 AVRO_LOGICAL = {"date": "date", "timestamp-millis": "timestamp", "timestamp-micros": "timestamp", "decimal": "double precision"}
@@ -180,6 +231,26 @@ def read_topic(spark: SparkSession, brokers: str, topics: str, starting: str = "
     return spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": expand(brokers), "subscribe": topics, "startingOffsets": starting, **(options or {})}).load()
 
 
+class Topics:
+    """A Kafka source: tables by the topics' registered schemas, and the stream of their messages."""
+
+    def __init__(self, spark: SparkSession, brokers: str, schemas: dict[str, str] | None = None, starting: str = "earliest", options: dict[str, str] | None = None):
+        self.spark, self.brokers, self.schemas, self.starting, self.options = spark, brokers, schemas or {}, starting, options
+
+    def schema(self) -> model.Schema:
+        """The tables of the topics whose schema text (Avro or JSON Schema) is given."""
+        return model.Schema({topic: topic_table(topic, text) for topic, text in self.schemas.items()})
+
+    def stream(self, topics: str) -> DataFrame:
+        return read_topic(self.spark, self.brokers, topics, self.starting, self.options)
+
+    def apply(self, topics: str, format: str, store: Any, schema: model.Schema, config: model.MappingConfig, checkpoint: str, **options: Any):
+        """Start the query that applies the topics' change log to a store; offsets are committed with its checkpoint."""
+        from graphloom.streaming.apply import run_stream
+
+        return run_stream(self.stream(topics), format, store, schema, config, checkpoint, **options)
+
+
 def create_source(spark: SparkSession, kind: str, connection: str, schema_name: str = "public", params: dict[str, Any] | None = None):
     """A source by type: postgresql, mysql, sqlserver, snowflake, clickhouse, csv or kafka."""
     params = dict(params or {})
@@ -188,6 +259,6 @@ def create_source(spark: SparkSession, kind: str, connection: str, schema_name:
 
         return DelimitedFolder(spark, expand(connection), **params)
     if kind == "kafka":
-        return lambda topics: read_topic(spark, connection, topics, **params)
+        return Topics(spark, connection, **params)
     url = connection if re.match(r"jdbc:", connection) else expand(connection)
     return Database(spark, kind, url, schema_name, **params)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphloom import model
 from graphloom.operators import merge, project
+from graphloom.plans import governance
 from graphloom.sources.store import GraphStore
 from graphloom.streaming.changelog import lsn_number
 
@@ -112,25 +115,73 @@ def _packed(changes: DataFrame, collection: str, is_edge: bool) -> DataFrame:
     return changes.select("seq", F.lit(collection).alias("collection"), F.lit(is_edge).alias("is_edge"), "op", "_key", F.when(F.col("op") != "DELETE", doc).alias("doc"))
 
 
-def apply_events(store: GraphStore, events: DataFrame, schema: model.Schema, config: model.MappingConfig, policy: str = "source_wins", batch: object = None) -> dict[str, int]:
+@dataclass
+class BatchStats:
+    """What became of a batch: its events and transactions, its last position, and the changes
+    applied and failed by collection."""
+
+    events: int = 0
+    transactions: int = 0
+    last_seq: Decimal | int | None = None
+    applied: dict[str, int] = field(default_factory=dict)
+    failed: dict[str, int] = field(default_factory=dict)
+    skipped: bool = False
+
+
+def apply_events(
+    store: GraphStore, events: DataFrame, schema: model.Schema, config: model.MappingConfig, policy: str = "source_wins", batch: object = None, dead_letters: Callable[[DataFrame], None] | None = None
+) -> dict[str, int]:
     """Apply a batch of events to a store; returns the number of changes per collection. A batch
     id that was applied already changes nothing, and neither does a batch that comes again under
-    another id, as documents keep the sequence they were written at."""
+    another id, as documents keep the sequence they were written at. See apply_batch."""
+    return apply_batch(store, events, schema, config, policy, batch, dead_letters).applied
+
+
+def apply_batch(
+    store: GraphStore, events: DataFrame, schema: model.Schema, config: model.MappingConfig, policy: str = "source_wins", batch: object = None, dead_letters: Callable[[DataFrame], None] | None = None
+) -> BatchStats:
+    """apply_events with statistics. With `dead_letters` the changes of a collection that cannot be
+    applied go there (batch, collection, seq, op, _key, doc, error), and the batch goes on; without
+    it the error ends the batch, which is then not noted as applied."""
+    stats = BatchStats()
     if batch is not None and store.has_batch(batch):
-        return {}
+        stats.skipped = True
+        return stats
     ready = sequenced(events).where("seq is not null")
-    counts = {}
+    told = ready.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("transaction_id" if "transaction_id" in ready.columns else F.lit(None)).alias("t"), F.max("seq").alias("last")).first()
+    stats.events, stats.transactions, stats.last_seq = told["n"], told["t"], told["last"]
+
+    def put(collection: str, changes: DataFrame, is_edge: bool) -> None:
+        try:
+            stats.applied[collection] = store.merge(collection, changes, policy)
+        except Exception as error:
+            if dead_letters is None:
+                raise
+            lost = _packed(changes, collection, is_edge).select(F.lit(str(batch)).alias("batch"), "collection", "seq", "op", "_key", "doc", F.lit(str(error)[:2000]).alias("error"))
+            dead_letters(lost)
+            stats.failed[collection] = changes.count()
+
     for mapping in config.collections.values():
         table = schema.tables.get(mapping.source_table)
         if table is not None and table.primary_key:
-            counts[mapping.target_collection] = store.merge(mapping.target_collection, vertex_changes(ready, table, mapping, config), policy)
+            put(mapping.target_collection, vertex_changes(ready, table, mapping, config), False)
     for edge in config.edges:
         table = schema.tables.get(edge.from_collection)
         if table is not None and table.primary_key:
-            counts[edge.edge_collection] = store.merge(edge.edge_collection, edge_changes(ready, edge, table, config), policy)
+            put(edge.edge_collection, edge_changes(ready, edge, table, config), True)
     if batch is not None:
         store.note_batch(batch)
-    return counts
+    return stats
+
+
+def dead_letter_folder(path: str) -> Callable[[DataFrame], None]:
+    """Dead letters as JSON lines appended to a folder."""
+    return lambda lost: lost.withColumn("recorded_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def governed(schema: model.Schema, config: model.MappingConfig, threshold: str) -> model.MappingConfig:
+    """The mapping without what reaches a level of sensitivity, for a stream as for a load."""
+    return governance.gate(config, governance.report(config, schema, threshold))[0]
 
 
 def run_stream(
@@ -144,14 +195,25 @@ def run_stream(
     policy: str = "source_wins",
     value: str = "value",
     available_now: bool = True,
+    threshold: str | None = None,
+    dead_letters: str | None = None,
+    on_stats: Callable[[int, BatchStats], None] | None = None,
 ) -> StreamingQuery:
-    """Start a Structured Streaming query that parses a change log and merges it into a store."""
+    """Start a Structured Streaming query that parses a change log and merges it into a store.
+
+    With a `threshold` the mapping passes the gate first. Changes that cannot be applied go to the
+    folder `dead_letters`, if there is one, and the log goes on."""
     from graphloom.streaming.changelog import PARSERS
 
+    mapped = config if threshold is None else governed(schema, config, threshold)
+    lost = None if dead_letters is None else dead_letter_folder(dead_letters)
+
     def each(batch: DataFrame, number: int) -> None:
         cached = PARSERS[format](batch, value).persist()
         try:
-            apply_events(store, cached, schema, config, policy, batch=number)
+            stats = apply_batch(store, cached, schema, mapped, policy, number, lost)
+            if on_stats is not None:
+                on_stats(number, stats)
         finally:
             cached.unpersist()
 

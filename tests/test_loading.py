@@ -91,7 +91,13 @@ def test_command_line(library, tmp_path, capsys):
         assert main(command) == 0
     capsys.readouterr()
     assert main(["validate-data", s, str(d)]) == 1
-    assert json.loads(capsys.readouterr().out)[0]["orphans"] == 1
+    found = json.loads(capsys.readouterr().out)
+    assert found["references"][0]["orphans"] == 1 and [(i["check"], i["value"]) for i in found["issues"]] == [("books.author_id", "9")]
+    assert main(["generate-csv-import", s, m, "/x", "tool"]) == 0
+    script = capsys.readouterr().out
+    assert '--translate "id=_key"' in script and '--translate "author_id=_to"' in script and '--to-collection-prefix "authors"' in script and '--remove-attribute "title"' in script
+    assert main(["entitlements-emit", s, m, str(tmp_path / "gov")]) == 0 and main(["diff-classifications", s, s]) == 0
+    assert sorted(p.name for p in (tmp_path / "gov").iterdir()) == ["classification.json", "layout.json", "lineage.json", "policy.rego", "roles.json"]
     assert main(["transform", s, m, out, str(d)]) == 0 and main(["load", s, m, str(tmp_path / "st"), str(d)]) == 0
     assert main(["inspect", "books", str(d), "--rows", "1"]) == 0 and main(["ingest-schema", s, str(d)]) == 0 and main(["dump", out + "2", str(d)]) == 0
     model.save(mapping.auto_map(model.load(model.Schema, s)), m)

@@ -1,5 +1,6 @@
 """Change logs applied batch by batch: replay, order, edges that move, and a file stream."""
 
+import copy
 import itertools
 import json
 
@@ -205,3 +206,55 @@ def test_applied_batches_are_all_remembered(spark, tmp_path):
         store.note_batch(i)
     assert all(store.has_batch(i) for i in [*range(30), 40, "x"]) and not any(store.has_batch(i) for i in (30, 41, "y"))
     assert store._batches() == {"before": 30, "done": ["40", "x"]}
+
+
+def test_failed_changes_go_to_dead_letters(spark, tmp_path, monkeypatch):
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=2)
+    merge_, seen = store.merge, []
+
+    def failing(collection, changes, policy):
+        if collection == "orders":
+            raise OSError("disk full")
+        return merge_(collection, changes, policy)
+
+    monkeypatch.setattr(store, "merge", failing)
+    with pytest.raises(OSError):
+        apply.apply_events(store, events(spark, EVENTS), SCHEMA, CONFIG, batch=1)
+    assert not store.has_batch(1)
+    stats = apply.apply_batch(store, events(spark, EVENTS), SCHEMA, CONFIG, batch=2, dead_letters=apply.dead_letter_folder(str(tmp_path / "dead")))
+    assert stats.failed == {"orders": 6} and set(stats.applied) == {"users", "orders_to_users"} and stats.events == len(EVENTS) and store.has_batch(2)
+    lost = spark.read.json(str(tmp_path / "dead")).collect()
+    assert len(lost) == 6 and {r.collection for r in lost} == {"orders"} and {r.error for r in lost} == {"disk full"} and {r.batch for r in lost} == {"2"}
+
+
+def test_governed_stream_with_statistics(spark, tmp_path):
+    from graphloom import model
+    from graphloom.plans import governance
+
+    schema = copy.deepcopy(SCHEMA)
+    governance.annotate(schema, {"users": {"name": model.Classification(["PII.Sensitive"])}})
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("".join(json.dumps(e) + "\n" for e in EVENTS))
+    store, told = GraphStore(spark, str(tmp_path / "graph"), buckets=2), []
+    query = apply.run_stream(spark.readStream.text(str(source)), "flat", store, schema, CONFIG, str(tmp_path / "ckpt"), threshold="confidential", on_stats=lambda n, s: told.append((n, s.events)))
+    query.awaitTermination(240)
+    query.stop()
+    assert "name" not in store.documents("users").columns and "total" in store.documents("orders").columns and told == [(0, len(EVENTS))]
+
+
+def test_landed_slot(spark, tmp_path, monkeypatch):
+    from graphloom.sources import databases
+
+    lines = [("0/10", 1, "table public.users: INSERT: id[integer]:1 name[text]:'a'"), ("0/18", 1, "table public.users: INSERT: id[integer]:2 name[text]:'b'"), ("0/9", 1, "BEGIN 1")]
+    waiting, moved = [list(lines)], []
+    slot = databases.Slot(databases.Database(spark, "postgresql", "jdbc:postgresql://h/d"), "s")
+    monkeypatch.setattr(slot, "peek", lambda most: spark.createDataFrame(waiting[0], "lsn string, xid bigint, value string"))
+    monkeypatch.setattr(slot, "advance", lambda lsn: moved.append(lsn))
+    assert slot.land(str(tmp_path / "wal")) == 3 and moved == ["0/18"]
+    assert slot.land(str(tmp_path / "wal")) == 3  # lost before the slot moved: landed again
+    store = GraphStore(spark, str(tmp_path / "graph"), buckets=2)
+    query = apply.run_stream(databases.landed_changes(spark, str(tmp_path / "wal")), "test_decoding", store, SCHEMA, CONFIG, str(tmp_path / "ckpt"))
+    query.awaitTermination(240)
+    query.stop()
+    assert {(r._key, r.name) for r in store.documents("users").collect()} == {("1", "a"), ("2", "b")}
