@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom import model
 from graphloom.functions.types import source_type
@@ -26,15 +27,17 @@ class DelimitedFolder:
     """A folder with one table per delimited file.
 
     A session in the sense of the other sources: schema(), rows(table), count(table), preview,
-    dump. All columns that look like text stay text, so that leading zeros survive in keys.
+    dump. All columns that look like text stay text, so that leading zeros survive in keys. A file
+    without line breaks inside fields may be read with multi_line off: it is then split over tasks.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, delimiter: str | None = None, header: bool = True, base: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str, *, delimiter: str | None = None, header: bool = True, base: str | None = None, multi_line: bool = True):
         if base is not None:
             inner, outer = os.path.realpath(folder), os.path.realpath(base)
             if inner != outer and not inner.startswith(outer + os.sep):
                 raise OutsideBase(f"{folder} is outside {base}")
-        self.spark, self.folder, self.delimiter, self.header = spark, folder, delimiter, header
+        self.spark, self.folder, self.delimiter, self.header, self.multi_line = spark, folder, delimiter, header, multi_line
+        self._types: dict[tuple[str, float], StructType] = {}
 
     def tables(self) -> dict[str, str]:
         if not os.path.isdir(self.folder):
@@ -48,14 +51,21 @@ class DelimitedFolder:
 
     def _reader(self, path: str):
         mark = self.delimiter or ("\t" if ".tsv" in os.path.basename(path).lower() else ",")
-        return self.spark.read.option("header", self.header).option("sep", mark).option("escape", '"').option("multiLine", True).option("nullValue", "")
+        return self.spark.read.option("header", self.header).option("sep", mark).option("escape", '"').option("multiLine", self.multi_line).option("nullValue", "")
 
     def rows(self, table: str, typed: bool = True, since_value: object = None, since_column: str | None = None) -> DataFrame:
         """Rows by header name, by place ("0", "1", ...) without header; typed by their values, or
-        as text."""
+        as text. The types of a file are inferred once, by a pass over all of it, until it changes."""
         from graphloom.operators.project import since
 
-        df = self._reader(self.tables()[table]).option("inferSchema", typed).option("preferDate", True).csv(self.tables()[table])
+        path = self.tables()[table]
+        reader, known = self._reader(path).option("preferDate", True), (path, os.path.getmtime(path))
+        if typed and known in self._types:
+            df = reader.schema(self._types[known]).csv(path)
+        else:
+            df = reader.option("inferSchema", typed).csv(path)
+            if typed:
+                self._types[known] = df.schema
         if not self.header:
             df = df.toDF(*[str(i) for i in range(len(df.columns))])
         return since(df, since_value, since_column)

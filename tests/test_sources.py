@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 
 import pytest
 
@@ -37,6 +38,17 @@ def test_delimited_folder(spark, folder):
     assert {n: t.primary_key for n, t in schema.tables.items()} == {"users": ["id"], "orders": [], "empty": ["id"], "codes": ["code_id"]}
 
 
+def test_types_are_inferred_once(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,d,code\n1,2024-01-01,007\n2,,008\n")
+    source = DelimitedFolder(spark, str(tmp_path), multi_line=False)
+    first, again = source.rows("t"), source.rows("t")
+    assert first.dtypes == again.dtypes and [tuple(r) for r in first.collect()] == [tuple(r) for r in again.collect()] and len(source._types) == 1
+    path.write_text("id,d\nx,1.5\n")
+    os.utime(path, (1, 1))
+    assert source.rows("t").dtypes == [("id", "string"), ("d", "double")]
+
+
 def test_no_header_and_base(spark, folder):
     assert DelimitedFolder(spark, str(folder), header=False).rows("users").columns[:2] == ["0", "1"]
     DelimitedFolder(spark, str(folder), base=str(folder.parent))
