@@ -177,13 +177,35 @@ def use_counts(counted: DataFrame, shares: DataFrame, block: int = BLOCK, seed:
 
 def reached_shares(uses: DataFrame, shares: DataFrame) -> DataFrame:
     """(source, weight, max_repeats, documents, source_tokens, wanted_tokens, used_tokens,
-    largest_use, share, shortfall) per target source: share of all tokens used, and the part of
+    largest_use, share, share_of_planned, shortfall) per target source.
+
+    share is of all tokens used, share_of_planned of the tokens that all sources together should
+    give (they differ where a source is missing or too small), and shortfall the part of the
     weight that is not reached, by the planned total."""
     used = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("largest_use"))
     total = uses.agg(F.sum(F.col("tokens") * F.col("uses")).alias("total")).first()["total"]
+    planned = shares.agg(F.sum("wanted").alias("planned")).first()["planned"]
     both = shares.join(used, "source", "left").fillna(0, ["used_tokens", "largest_use"])
     share = F.col("used_tokens") / total if total else F.lit(0.0)
+    of_planned = F.col("used_tokens") / planned if planned else F.lit(0.0)
     missing = F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.col("used_tokens") / F.nullif(F.col("wanted"), F.lit(0.0)), F.lit(0.0))) * F.col("weight")
     return both.select(
-        "source", "weight", "max_repeats", "documents", "source_tokens", F.round("wanted").cast("bigint").alias("wanted_tokens"), "used_tokens", "largest_use", share.alias("share"), missing.alias("shortfall")
-    )
+        "source", "weight", "max_repeats", "documents", "source_tokens", F.round("wanted").cast("bigint").alias("wanted_tokens"), "used_tokens", "largest_use",
+        share.alias("share"), of_planned.alias("share_of_planned"), missing.alias("shortfall"),
+    )
+
+
+def share_checks(uses: DataFrame, shares: DataFrame) -> DataFrame:
+    """(source, weight, max_repeats, documents, uses_within_cap, tokens_as_planned, shortfall_told) per
+    target source: what holds for every mixture, whatever was drawn.
+
+    No document is used more than max_repeats times, nor unlike another of its source by more than
+    one use; the tokens used differ from what the rate gives by less than two documents; and the
+    report tells a shortfall where the source cannot fill its weight."""
+    seen = uses.groupBy("source").agg(F.max("uses").alias("most"), F.min("uses").alias("least"), F.max("tokens").alias("largest"))
+    report = reached_shares(uses, shares).join(shares.select("source", "rate"), "source").join(seen, "source", "left")
+    cap = F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("most") - F.col("least") <= 1), F.lit(True))
+    planned = F.coalesce(F.abs(F.col("used_tokens") - F.col("rate") * F.col("source_tokens")) <= 2 * F.col("largest"), F.col("used_tokens") == 0)
+    short = F.col("rate") * F.col("source_tokens") < F.col("wanted_tokens") - 1
+    told = ~short | (F.col("shortfall") > 0)
+    return report.select("source", "weight", "max_repeats", "documents", cap.alias("uses_within_cap"), planned.alias("tokens_as_planned"), told.alias("shortfall_told"))

@@ -30,6 +30,10 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.reached_shares(*_mixture(spark, folder))
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.share_checks(*_mixture(spark, folder))
+
+
 def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
     return structure.text_counts(read_table(spark, folder, "documents"))
 
@@ -42,7 +46,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return structure.text_forms(read_table(spark, folder, "documents")).where("form <> 'prose'").select("doc_id", "form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_uses, p7_shares, p8_found, p8_counts, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_uses, p7_shares, p7_checks, p8_found, p8_counts, p8_statistics)}
 
 
 def _counts_sql() -> str:
@@ -62,4 +66,10 @@ SELECT doc_id, len(w) AS words, CASE WHEN len(w) > 0 THEN length(array_to_string
 FROM t"""
 
 
-SQL: dict[str, str] = {"p8_counts": _counts_sql()}
+#: What must hold of every mixture.
+_CHECKS = """
+SELECT t.source, max(t.weight) AS weight, max(t.max_repeats) AS max_repeats, coalesce(max(d.n), 0) AS documents, true AS uses_within_cap, true AS tokens_as_planned, true AS shortfall_told
+FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) d ON d.source = t.source GROUP BY t.source
+"""
+
+SQL: dict[str, str] = {"p7_checks": _CHECKS, "p8_counts": _counts_sql()}

@@ -58,6 +58,11 @@ def test_shares_by_any_block_size(spark, block):
     report = {r.source: r for r in mixture.reached_shares(uses, shares).collect()}
     assert report["none"].shortfall == pytest.approx(0.1) and report["none"].used_tokens == 0 and report["a"].share == pytest.approx(0.5 / 0.9, abs=0.02)
     assert sum(r.share for r in report.values()) == pytest.approx(1)
+    assert all(r.uses_within_cap and r.tokens_as_planned and r.shortfall_told for r in mixture.share_checks(uses, shares).collect())
+    planned = sum(r.wanted for r in plan.values())
+    assert report["a"].share_of_planned == pytest.approx(report["a"].used_tokens / planned) and report["a"].share_of_planned == pytest.approx(0.5, abs=0.02)
+    spoilt = uses.withColumn("uses", uses.uses + 5)
+    assert not any(r.uses_within_cap for r in mixture.share_checks(spoilt, shares).collect() if r.source != "none")
     again = mixture.use_counts(docs.repartition(7), shares, block=block).collect()
     assert {r.doc_id: r.uses for r in got} == {r.doc_id: r.uses for r in again}
 
