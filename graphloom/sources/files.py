@@ -104,7 +104,7 @@ def write_graph(graph: Graph, folder: str, format: str = "json") -> None:
 def dump_table(df: DataFrame, path: str, header: bool = True) -> None:
     """A table as delimited text, NULL as empty."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes])
-    flat.write.mode("overwrite").option("header", header).option("nullValue", "").option("escape", '"').csv(path)
+    flat.write.mode("overwrite").option("header", header).option("nullValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def record_failures(rejects: DataFrame, path: str, load_id: str) -> None:
