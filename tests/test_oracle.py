@@ -6,11 +6,11 @@ import pytest
 
 import oracle
 from conftest import DATA
-from graphloom.queries import data_quality, data_quality_sql, graph, graph_sql
+from graphloom.queries import data_quality, data_quality_sql, graph, graph_sql, plans, plans_sql
 
 FOLDER = f"{DATA}/sf0.001"
-QUERIES = {**graph.QUERIES, **data_quality.QUERIES}
-SQL = {**graph_sql.sql(), **data_quality_sql.sql()}
+QUERIES = {**graph.QUERIES, **plans.QUERIES, **data_quality.QUERIES}
+SQL = {**graph_sql.sql(), **plans_sql.sql(), **data_quality_sql.sql()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
