@@ -171,6 +171,11 @@ def holds(document: list[str], passage: list[str], places: dict[str, list[int]]
     return False
 
 
+def _line(tokens: list[str]) -> str:
+    """Words as one text in which a run of words is found as text."""
+    return "\0" + "\0".join(tokens) + "\0"
+
+
 class TestIndex:
     """Test passages with their seeds in order, so that a document's seeds are looked up at once."""
 
@@ -179,6 +184,8 @@ class TestIndex:
     def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
         self.masks, self.span = masks, min(map(len, masks))
         self.items = [(key, found, places_of(found)) for key, passage in items if len(found := words(passage)) >= EXACT_WORDS]
+        whole = lambda found: [_line(found[i : i + EXACT_WORDS]) for i in range(len(found) - EXACT_WORDS + 1)]
+        self.exact = [whole(found) for _, found, _ in self.items]
         self.vocabulary = frozenset(w for _, found, _ in self.items for w in found)
         self.numbers = {w: i for i, w in enumerate(sorted(self.vocabulary))}
         longest = max((len(found) for _, found, _ in self.items), default=0)
@@ -242,7 +249,9 @@ class TestIndex:
                 if near:
                     tokens = repaired(tokens, self.vocabulary)
                     near = self.plausible(set(tokens), near)
-                yield [key for key, whole, places in (self.items[i] for i in near) if holds(tokens, whole, places)]
+                    line = _line(tokens)
+                # A run of EXACT_WORDS is seen at once; the rest is aligned.
+                yield [self.items[i][0] for i in near if any(run in line for run in self.exact[i]) or holds(tokens, *self.items[i][1:])]
 
     def _parts(self, texts: Iterable[str]) -> Iterator[list[list[str]]]:
         """The words of some texts at a time, so that their seeds are looked up together."""
