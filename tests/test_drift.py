@@ -83,3 +83,12 @@ def test_one_id_with_two_bodies_counts_once(spark):
     first, other = {"u": {"k": 1}, "v": {"k": 1}}, {"u": {"k": "x"}, "w": {"k": 1}}
     rows = [(1, "o", "2024-01-01", first), (2, "o", "2024-01-02", first), (2, "p", "2024-01-03", other), (3, "o", "2024-01-04", {"u": {"k": True}, "w": {"k": "y"}})]
     assert changes(spark, rows) == changes(spark, rows[::-1]) == [(3, "u", "k", "k", "retyped")]
+
+
+def test_shuffled_places_give_the_same(spark, monkeypatch):
+    from graphloom.operators import drift
+
+    rows = [(i, f"o{i % 3}", f"2024-01-{1 + i:02d}", {"u": {"k": i if i % 2 else str(i), f"f{i % 4}": [i % 2]}}) for i in range(12)]
+    want = changes(spark, rows)
+    monkeypatch.setattr(drift, "BROADCAST_BYTES", 0)
+    assert changes(spark, rows) == want and len(want) > 12
