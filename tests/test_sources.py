@@ -124,3 +124,30 @@ def test_key_holds_in_the_whole_file(spark, tmp_path):
     done = loading.load_graph(store, schema, auto_map(schema), source.rows)
     assert done.errors == {} and done.documents == {"t": len(numbers), "late": 1300}
     assert store.documents("t").count() == len(numbers) and store.documents("late").count() == 1300
+
+
+def test_snowflake_keys_come_from_show(spark, monkeypatch):
+    asked = []
+    answers = {
+        "information_schema": [("users", "id", "NUMBER", "NO"), ("orders", "id", "NUMBER", "NO"), ("orders", "user_id", "NUMBER", "YES")],
+        "key_sequence": [("users", "id"), ("orders", "id")],
+        "fk_name": [("orders", "fk1", "user_id", "users", "id")],
+    }
+
+    def read(self, **options):
+        asked.append(options)
+        found = next(v for k, v in reversed(answers.items()) if k in options["query"])
+        return spark.createDataFrame(found, ", ".join(f"c{i} string" for i in range(len(found[0]))))
+
+    monkeypatch.setattr(databases.Database, "_read", read)
+    schema = databases.create_source(spark, "snowflake", "jdbc:snowflake://h/?db=d", "shop").schema()
+    assert {n: t.primary_key for n, t in schema.tables.items()} == {"users": ["id"], "orders": ["id"]}
+    assert [(fk.columns, fk.foreign_table, fk.foreign_columns) for fk in schema.tables["orders"].foreign_keys] == [(["user_id"], "users", ["id"])]
+    assert "sessionInitStatement" not in asked[0] and "BASE TABLE" in asked[0]["query"]
+    assert [o["sessionInitStatement"] for o in asked[1:]] == ["SHOW PRIMARY KEYS IN SCHEMA shop", "SHOW IMPORTED KEYS IN SCHEMA shop"]
+
+
+def test_topics_have_tables_by_their_schemas(spark):
+    text = json.dumps({"type": "record", "name": "u", "fields": [{"name": "id", "type": "long"}]})
+    topics = databases.create_source(spark, "kafka", "broker:9092", params={"schemas": {"users": text}})
+    assert isinstance(topics, databases.Topics) and topics.schema().tables["users"].names == ["id"]
