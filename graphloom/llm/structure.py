@@ -5,12 +5,13 @@ language and over character classes of its other tokens is compared, by Jensen-S
 with the prose profiles of that language and with profiles of lists, tables and junk; the nearest
 profile names the segment, and the characters of the segments decide on the document. A segment's
 language is the one whose prose profiles are nearest. The prose profiles of a language are stated
-seeds and what a bounded sample of the corpus makes of them.
+seeds and what the whole corpus makes of them.
 """
 
 from __future__ import annotations
 
 import copy
+import pickle
 import re
 import unicodedata
 from collections import Counter, deque
@@ -19,12 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import unescape
-from graphloom.plans.runtime import spread
+from graphloom.plans.runtime import cut, spread
 
 #: Common function words by language. Articles are apart, as lists have them too.
 ARTICLES = {
@@ -125,9 +125,12 @@ _LONG_RUN = re.compile(r"(.)\1{30,}")
 _QUOTES = re.compile(r"^\s*(?:>\s?)+")
 
 
-#: Documents of the corpus from which prose profiles are learned, at most about so many, from so
-#: many of its files at most; and segments that make a profile.
-SAMPLE_DOCUMENTS, SAMPLE_FILES, LEARN_FROM = 2000, 16, 30
+#: Segments that make a profile.
+LEARN_FROM = 30
+#: Not used, as profiles are learned from every document of every file; a test sets the name.
+SAMPLE_FILES = 16
+#: Unit of the shares that are summed: whole numbers add up alike in any order.
+UNIT = 1_000_000
 #: Entries that make a list of lines without marks or of one line.
 LIST_ITEMS = 3
 
@@ -208,6 +211,9 @@ class Segment:
     counts: list[float] = field(default_factory=lambda: [0.0] * _TYPES)
     small: Counter = field(default_factory=Counter)
 
+    def tokens(self) -> float:
+        return sum(self.counts) + sum(self.small.values())
+
     def by_language(self) -> np.ndarray:
         """Counts of the token classes, a row for each language."""
         out = np.tile(np.array(self.counts), (len(LANGUAGES), 1))
@@ -449,11 +455,13 @@ class Profiles:
 
     def learned(self, sums: dict[tuple[int, int], tuple[np.ndarray, int]]) -> Profiles:
         """These profiles and for each prose profile that LEARN_FROM segments or more are nearest to
-        the mean of their shares, from (language, profile) -> (sum of shares, segments)."""
+        the mean of their shares, from (language, profile) -> (sum of shares, segments). A mean that
+        is nearer to another form is of misjudged segments, however many, and is left out."""
         out = copy.copy(self)
-        out.prose = [
-            np.array([*rows, *(sums[i, k][0] / sums[i, k][1] for k in range(len(rows)) if (i, k) in sums and sums[i, k][1] >= LEARN_FROM)]) for i, rows in enumerate(self.prose)
-        ]
+        out.prose = []
+        for i, rows in enumerate(self.prose):
+            means = [sums[i, k][0] / sums[i, k][0].sum() for k in range(len(rows)) if (i, k) in sums and sums[i, k][1] >= LEARN_FROM]
+            out.prose.append(np.array([*rows, *(m for m in means if divergences(m[None], rows).min() <= divergences(m[None], self.others).min())]))
         return out
 
 
@@ -472,6 +480,18 @@ def parsed(text: str | None) -> list[Segment] | Counter:
     return [segment_of(shape, lines) for shape, lines in segments(flat)]
 
 
+FORMS = ("prose", "list", "table", "junk")
+
+
+def _form(name: str, part: Segment) -> str:
+    """The form of a segment by the name of its nearest profile."""
+    if name == "list" and part.shape == "text" and part.lines < LIST_ITEMS and part.counts[_AT["comma"]] < LIST_ITEMS:
+        return "prose"  # too few entries for a list
+    if name == "table" and part.lines < 2 and part.tokens() < 8:
+        return "prose"
+    return name
+
+
 def forms_of(texts: Iterable[str | None], profiles: Profiles = SEEDS) -> list[Counter]:
     """Characters of each text by form: prose, list, table, junk."""
     out = [parsed(text) for text in texts]
@@ -481,12 +501,7 @@ def forms_of(texts: Iterable[str | None], profiles: Profiles = SEEDS) -> list[Co
         for i in at:
             sizes: Counter = Counter()
             for part in out[i]:
-                form = next(names)
-                if form == "list" and part.shape == "text" and part.lines < LIST_ITEMS and part.counts[_AT["comma"]] < LIST_ITEMS:
-                    form = "prose"  # too few entries for a list
-                if form == "table" and part.lines < 2 and sum(part.counts) + sum(part.small.values()) < 8:
-                    form = "prose"
-                sizes[form] += part.size
+                sizes[_form(next(names), part)] += part.size
             out[i] = sizes
     return [x if isinstance(x, Counter) else Counter() for x in out]
 
@@ -506,48 +521,112 @@ def document_form(sizes: dict[str, float]) -> str:
     return max(sorted(other), key=other.get)
 
 
-def prose_sums(texts: Iterable[str | None], profiles: Profiles = SEEDS) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
-    """(language, prose profile) -> (sum of the shares of the segments of prose nearest to it,
-    number of them). Segments of under eight tokens say too little."""
-    flat = [s for parts in map(parsed, texts) if isinstance(parts, list) for s in parts if not s.foreign and sum(s.counts) + sum(s.small.values()) >= 8]
-    sums: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+#: (language, prose profile) -> (sum of the shares, in UNIT, of the segments of prose nearest to it,
+#: number of them).
+_Sums = dict[tuple[int, int], tuple[np.ndarray, int]]
+
+
+def _add_prose(sums: _Sums, parts: list[Segment], nearest: tuple) -> None:
+    """Add the segments of prose to sums. Segments of under eight tokens say too little."""
+    names, language, profile, shares = nearest
+    taken = np.array([name == "prose" and not part.foreign and part.tokens() >= 8 for part, name in zip(parts, names)], dtype=bool)
+    language, profile, units = language[taken], profile[taken], np.rint(shares[taken] * UNIT).astype(np.int64)
+    for i, k in set(zip(language.tolist(), profile.tolist())):
+        at = (language == i) & (profile == k)
+        total, n = sums.get((i, k), (0, 0))
+        sums[i, k] = (total + units[at].sum(axis=0), n + int(at.sum()))
+
+
+def prose_sums(texts: Iterable[str | None], profiles: Profiles = SEEDS) -> _Sums:
+    """The sums of the segments of prose of the texts."""
+    flat = [s for parts in map(parsed, texts) if isinstance(parts, list) for s in parts]
+    sums: _Sums = {}
     if flat:
-        for name, i, k, shares in zip(*profiles.nearest(flat)):
-            if name == "prose":
-                total, n = sums.get((int(i), int(k)), (np.zeros(_TYPES), 0))
-                sums[int(i), int(k)] = (total + shares, n + 1)
+        _add_prose(sums, flat, profiles.nearest(flat))
     return sums
 
 
-def learn_profiles(documents: DataFrame) -> Profiles:
-    """The seeds and the prose profiles of a sample of the corpus: about SAMPLE_DOCUMENTS documents
-    by a hash of doc_id, from SAMPLE_FILES of its files by a hash of the name. A document that is
-    not sampled is not looked at here; what is learned applies to all."""
-    texts = documents.select("doc_id", "text")
-    files = documents.inputFiles()
-    if len(files) > SAMPLE_FILES:
-        chosen = sorted(files, key=lambda f: xxhash.xxh64_intdigest(f.rsplit("/", 1)[-1]))[:SAMPLE_FILES]
-        # Spark names local files with one slash here and three there; the filter prunes files.
-        names = [n for f in chosen for n in {f, f.replace("file:///", "file:/")}]
-        texts = documents.where(F.col("_metadata.file_path").isin(names)).select("doc_id", "text")
-    step = max(1, -(-texts.count() // SAMPLE_DOCUMENTS))
-    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+def survey(texts: Iterable[str | None], sums: _Sums) -> list[tuple[Counter, list[Segment]]]:
+    """Of each text the characters by form as far as the seeds settle them, and the other segments;
+    the prose is added to sums.
+
+    Learning only adds prose profiles, so prose stays prose and another form stays or becomes prose.
+    Only a foreign segment with function words may be read in another language and change otherwise."""
+    found = [parsed(text) for text in texts]
+    flat = [s for parts in found if isinstance(parts, list) for s in parts]
+    names: Iterator[str] = iter(())
+    if flat:
+        nearest = SEEDS.nearest(flat)
+        _add_prose(sums, flat, nearest)
+        names = iter(nearest[0])
+    out: list[tuple[Counter, list[Segment]]] = []
+    for parts in found:
+        if isinstance(parts, Counter):
+            out.append((parts, []))
+            continue
+        sizes, rest = Counter(), []
+        for part in parts:
+            form = _form(next(names), part)
+            if part.tokens() > 0 and (form != "prose" or part.foreign and part.small):
+                rest.append(part)
+            else:
+                sizes[form] += part.size
+        out.append((sizes, rest))
+    return out
+
+
+def settle(surveyed: list[tuple[Counter, list[Segment]]], profiles: Profiles) -> list[Counter]:
+    """Characters of each surveyed text by form, the remaining segments being judged by profiles."""
+    flat = [part for _, rest in surveyed for part in rest]
+    names = iter(profiles.nearest(flat)[0] if flat else [])
+    out = []
+    for sizes, rest in surveyed:
+        sizes = Counter(sizes)
+        for part in rest:
+            sizes[_form(next(names), part)] += part.size
+        out.append(sizes)
+    return out
+
+
+def _packed(parts: list[Segment]) -> bytes | None:
+    return pickle.dumps([(p.shape, p.size, p.lines, p.foreign, p.counts, dict(p.small)) for p in parts]) if parts else None
+
+
+def _unpacked(packed: bytes | None) -> list[Segment]:
+    return [Segment(*fields, Counter(small)) for *fields, small in pickle.loads(packed)] if packed else []
+
+
+def _surveyed(df: DataFrame, kept: list[str]) -> DataFrame:
+    """One pass over every text of df: a row for each with the kept columns, its settled characters
+    by form and its remaining segments; and from each partition a few dozen rows of sums (language,
+    profile, segments, shares), with all else NULL."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: _Sums = {}
         for batch in batches:
-            for key, (total, n) in prose_sums(batch["text"]).items():
-                before = sums.get(key, (0, 0))
-                sums[key] = (before[0] + total, before[1] + n)
-        yield pd.DataFrame({"language": [i for i, _ in sums], "profile": [k for _, k in sums], "total": pd.Series([t for t, _ in sums.values()], dtype=object), "n": [n for _, n in sums.values()]})
+            found = [x for at in range(0, len(batch), 1000) for x in survey(batch["text"].iloc[at : at + 1000], sums)]
+            sizes = {f: [x[f] for x, _ in found] for f in FORMS}
+            yield batch[kept].assign(**sizes, rest=[_packed(parts) for _, parts in found], sums=None)
+        rows = [[i, k, n, *total.tolist()] for (i, k), (total, n) in sums.items()]
+        yield pd.DataFrame({**dict.fromkeys([*kept, *FORMS, "rest"], pd.Series([None] * len(rows), dtype=object)), "sums": pd.Series(rows, dtype=object)})
 
-    # A few dozen rows of sums from each partition of the sample.
-    rows = spread(sampled).mapInPandas(count, "language int, profile int, total array<double>, n bigint").collect()
-    sums = {}
-    for r in sorted(rows):
-        before = sums.get((r["language"], r["profile"]), (0, 0))
-        sums[r["language"], r["profile"]] = (before[0] + np.array(r["total"]), before[1] + r["n"])
-    return SEEDS.learned({k: (np.round(total / n, 6) * n, n) for k, (total, n) in sums.items()})
+    types = dict(df.dtypes)
+    return df.mapInPandas(measure, ", ".join([f"{c} {types[c]}" for c in kept] + [f"{f} bigint" for f in FORMS] + ["rest binary", "sums array<bigint>"]))
+
+
+def _learned(surveyed: DataFrame) -> Profiles:
+    """The seeds and what the sums of a survey make of them. One row for each prose profile of a
+    language comes to the driver, whatever the size of the corpus."""
+    at = F.col("sums")
+    added = [F.sum(at[j]).alias(f"s{j}") for j in range(2, 3 + _TYPES)]
+    rows = surveyed.where(at.isNotNull()).groupBy(at[0].alias("language"), at[1].alias("profile")).agg(*added).collect()
+    return SEEDS.learned({(r[0], r[1]): (np.array(r[3:], dtype=np.float64), r[2]) for r in rows})
+
+
+def learn_profiles(documents: DataFrame) -> Profiles:
+    """The seeds and the prose profiles of the corpus, learned from every document, whatever the
+    order and partitions of the rows."""
+    return _learned(_surveyed(spread(documents.select("text")), []))
 
 
 #: Letters, digits and white space as Java's and DuckDB's regular expressions have them alike.
@@ -585,17 +664,33 @@ def text_counts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", *[c.alias(n) for n, c in counts(F.col("text")).items()])
 
 
-def _formed(df: DataFrame, profiles: Profiles, kept: list[str]) -> DataFrame:
-    """The kept columns of df (with a text) and non_prose and form."""
+def _shares(batch: pd.DataFrame, kept: list[str], sizes: list[Counter]) -> pd.DataFrame:
+    """The kept columns of batch and non_prose and form by the sizes."""
+    whole = [sum(x.values()) for x in sizes]
+    return batch[kept].assign(non_prose=[(n - x["prose"]) / n if n else 0.0 for x, n in zip(sizes, whole)], form=[document_form(x) for x in sizes])
+
+
+def _formed(df: DataFrame, profiles: Profiles | None, kept: list[str]) -> DataFrame:
+    """The kept columns of df (with a text) and non_prose and form. Without profiles they are learned
+    from all rows, in the pass that reads the texts; its survey is kept in the checkpoint folder."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = [x for at in range(0, len(batch), 1000) for x in forms_of(batch["text"].iloc[at : at + 1000], profiles)]
-            whole = [sum(x.values()) for x in sizes]
-            yield batch[kept].assign(non_prose=[(n - x["prose"]) / n if n else 0.0 for x, n in zip(sizes, whole)], form=[document_form(x) for x in sizes])
+            yield _shares(batch, kept, [x for at in range(0, len(batch), 1000) for x in forms_of(batch["text"].iloc[at : at + 1000], profiles)])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            settled = [Counter(dict(zip(FORMS, x))) for x in zip(*(batch[f].tolist() for f in FORMS))]
+            found = list(zip(settled, map(_unpacked, batch["rest"])))
+            yield _shares(batch, kept, [x for at in range(0, len(found), 1000) for x in settle(found[at : at + 1000], learned)])
 
     types = dict(df.dtypes)
-    return df.mapInPandas(measure, ", ".join(f"{c} {types[c]}" for c in kept) + ", non_prose double, form string")
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", non_prose double, form string"
+    if profiles is not None:
+        return df.mapInPandas(measure, schema)
+    surveyed = cut(_surveyed(df, kept))
+    learned = _learned(surveyed)
+    return surveyed.where("sums IS NULL").drop("sums").mapInPandas(finish, schema)
 
 
 def text_forms(documents: DataFrame, profiles: Profiles | None = None) -> DataFrame:
@@ -603,16 +698,15 @@ def text_forms(documents: DataFrame, profiles: Profiles | None = None) -> DataFr
     ignored).
 
     non_prose is the share of characters that are not prose. NULL and blank texts have 0 and the
-    form prose. Texts of any length are read whole. Without `profiles` they are learned first.
+    form prose. Texts of any length are read whole, once. Without `profiles` they are learned from
+    all rows.
     """
-    profiles = learn_profiles(documents) if profiles is None else profiles
     return _formed(spread(documents.select("doc_id", "text")), profiles, ["doc_id"])
 
 
 def text_statistics(documents: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """(doc_id, words, mean_word_length, symbol_ratio, punctuated_lines, common_words, non_prose,
     form), a row per row of `documents`: text_counts and text_forms in one pass."""
-    profiles = learn_profiles(documents) if profiles is None else profiles
     measured = counts(F.col("text"))
     counted = spread(documents.select("doc_id", "text")).select("doc_id", "text", *[c.alias(n) for n, c in measured.items()])
     return _formed(counted, profiles, ["doc_id", *measured])

@@ -117,6 +117,37 @@ def test_learning_reads_a_bounded_sample(spark, tmp_path, monkeypatch):
     assert {r.form for r in structure.text_forms(df).collect()} == {"prose"}
 
 
+RARE = "Gestern, heute, morgen, immer, wieder, anders als Malena, ganz wie bei Tordal, so sagte Venara, und dann."
+NEAR_RARE = "immer, anders, heute, Tordal, so sagte, sagte abends, sagte heute, immer, immer."
+
+
+def test_every_document_is_learned_from(spark):
+    """40 of 3,000 documents make a profile, and it decides on one more."""
+    texts = [PROSE["en"]] * 2959 + [RARE] * 40 + [NEAR_RARE]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert form(NEAR_RARE) == "list"
+    assert {r.form for r in structure.text_forms(df).collect()} == {"prose"}
+    whole = [structure.learn_profiles(df.repartition(n)) for n in (1, 7)]
+    want = structure.SEEDS.learned(structure.prose_sums(texts))
+    assert all((a == b).all() for x in whole for a, b in zip(x.prose, want.prose)) and len(want.prose[1]) == len(structure.SEEDS.prose[1]) + 1
+
+
+def test_means_of_misjudged_segments_are_not_learned():
+    sums = {(i, k): (structure.SEEDS.others[k] * structure.UNIT, 10**9) for i in range(len(structure.LANGUAGES)) for k in range(5)}
+    assert all((a == b).all() for a, b in zip(structure.SEEDS.learned(sums).prose, structure.SEEDS.prose))
+
+
+def test_one_pass_gives_what_two_give(spark):
+    mixed = ["Сестра the молоко, of хлеб, and соль, to мука, in сахар, a it", "  ", None, PROSE["en"] + "\n" + LISTS[0] + "\n" + TABLES[0], "!" * 40, NEAR_RARE]
+    texts = [RARE] * 40 + mixed + LISTS + TABLES + JUNK + FOREIGN_PROSE + FOREIGN_LISTS + [x * 3 for x in PROSE.values()]
+    learned = structure.SEEDS.learned(structure.prose_sums(texts))
+    sizes = structure.forms_of(texts, learned)
+    assert sizes != structure.forms_of(texts) and [+x for x in structure.settle(structure.survey(texts, {}), learned)] == sizes
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    given, found = (sorted(structure.text_forms(df, x).collect()) for x in (learned, None))
+    assert given == found == [(i, 1 - x["prose"] / sum(x.values()) if sum(x.values()) else 0.0, document_form(x)) for i, x in enumerate(sizes)]
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, PROSE["en"], "x"), (2, LISTS[0], "x"), (2, LISTS[0], "x"), (3, None, "x"), (4, "", "x"), (None, TABLES[0], "x"), (5, PROSE["de"] * 5000, "x")], "doc_id bigint, text string, form string")
     out = text_statistics(df).collect()
